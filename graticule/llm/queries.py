@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import embed, simhash
+from . import decontam, embed, mixing, quality, secrets, simhash, toxicity, urls
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_secrets": secrets.op2_secrets,
+    "op3_decontamination": decontam.op3_decontamination,
+    "op4_mixing": mixing.op4_mixing,
+    "op6_urls": urls.op6_urls,
     "op8_simhash": simhash.op8_simhash,
     "op9_embeddings": embed.op9_embeddings,
+    "op10_quality": quality.op10_quality,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_urls": urls.SQL}
