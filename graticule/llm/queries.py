@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embed, mixing, quality, secrets, simhash, toxicity, urls
+from . import decontam, embed, mixing, quality, secrets, simhash, substrings, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontam.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
     "op6_urls": urls.op6_urls,
+    "op7_substrings": substrings.op7_substrings,
     "op8_simhash": simhash.op8_simhash,
     "op9_embeddings": embed.op9_embeddings,
     "op10_quality": quality.op10_quality,
