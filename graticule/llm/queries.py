@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, embed, mixing, quality, secrets, simhash, substrings, toxicity, urls
+from . import decontam, embed, lm, mixing, quality, secrets, simhash, substrings, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_secrets": secrets.op2_secrets,
     "op3_decontamination": decontam.op3_decontamination,
     "op4_mixing": mixing.op4_mixing,
+    "op5_language_model": lm.op5_language_model,
     "op6_urls": urls.op6_urls,
     "op7_substrings": substrings.op7_substrings,
     "op8_simhash": simhash.op8_simhash,
