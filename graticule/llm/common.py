@@ -101,6 +101,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
 
 
+def labelled_sample(docs: DataFrame, ids: DataFrame, classes: list, most: int) -> list[tuple[str, object]]:
+    """(text, label) of at most `most` documents of each class, those whose ids hash lowest; ids: (doc_id, label).
+
+    Ids are picked first, and only the sample's texts move.  Of rows with one id the least text counts.
+    """
+    ids = ids.select("doc_id", "label").distinct().join(docs.select("doc_id"), "doc_id", "left_semi")
+    some = None
+    for c in classes:
+        own = ids.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        some = own if some is None else some.unionByName(own)
+    if some is None:
+        return []
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return [(r[0] or "", r[1]) for r in rows.orderBy("label", "doc_id").select("text", "label").collect()]
+
+
 class Forest:
     """Union-find over the integers below n, kept in one numpy array."""
 

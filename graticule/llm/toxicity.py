@@ -16,7 +16,6 @@ rows are scored alike; an empty table gives an empty result; other columns are c
 from __future__ import annotations
 
 import re
-from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -151,34 +150,53 @@ def _summary(p: np.ndarray) -> tuple[float, float, float]:
     return (1.0, float(p.max()), float(np.log1p(p.sum()))) if len(p) else (1.0, 0.0, 0.0)
 
 
-def _cover(docs: list[set[str]], clean: Counter, most_clean: float) -> set[str]:
-    """Spellings that explain the toxic documents: greedily the one that occurs in most documents not yet explained and hardly in clean ones."""
-    counts = Counter(s for d in docs for s in d)
-    able = {s for s, c in counts.items() if c >= 2 and clean[s] <= most_clean and clean[s] * 20 <= c}
-    docs = [d & able for d in docs]
-    holders: dict[str, list[int]] = {}
-    for k, d in enumerate(docs):
-        for s in d:
-            holders.setdefault(s, []).append(k)
-    gain = Counter({s: len(v) for s, v in holders.items()})
-    least, found, done = max(2, len(docs) // 100), set(), [False] * len(docs)
-    while gain:
+def _spelled(types: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each word's spellings (a row each, -1 for none), the same numbered from 0, each number's length, and whether it is a whole word."""
+    rows, sizes = np.full((len(types), 7), -1, np.int64), np.zeros((len(types), 7), np.int64)
+    for k, w in enumerate(types):
+        own = spellings(w)
+        rows[k, : len(own)] = [crc32(s.encode("utf-8", "surrogatepass")) for s in own]
+        sizes[k, : len(own)] = [len(s) for s in own]
+    names, number = np.unique(rows, return_inverse=True)
+    number = number.reshape(rows.shape) - 1 if len(names) and names[0] < 0 else number.reshape(rows.shape)
+    n = int(number.max()) + 1 if len(types) else 0
+    length, whole = np.zeros(n, np.int64), np.zeros(n, bool)
+    on = number >= 0
+    length[number[on]] = sizes[on]
+    whole[number[:, 0]] = True
+    return rows, number, length, whole
+
+
+def _cover(toxic: list[np.ndarray], in_clean: np.ndarray, n_clean: int, length: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Which spellings mark toxic words: greedily the one that occurs in most toxic documents not yet explained and hardly in clean ones.
+
+    toxic: each toxic document's spellings; in_clean: clean documents with each spelling.
+    """
+    in_toxic = np.zeros(len(in_clean), np.int64)
+    for d in toxic:
+        in_toxic[d] += 1
+    able = (in_toxic >= 2) & (in_clean <= max(1.0, 0.002 * n_clean)) & (in_clean * 20 <= in_toxic)
+    docs = [d[able[d]] for d in toxic]
+    owner, flat = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.concatenate(docs) if docs else np.zeros(0, np.int64)
+    by = np.argsort(flat, kind="stable")
+    owner, starts = owner[by], np.concatenate(([0], np.cumsum(np.bincount(flat, minlength=len(in_clean)))))
+    gain, done = np.where(able, in_toxic, 0), np.zeros(len(docs), bool)
+    marks, least = np.zeros(len(in_clean), bool), max(3, len(docs) // 100)
+    while len(gain):
         # of equal gain the shorter spelling, as it covers more words not yet seen
-        s, n = max(gain.items(), key=lambda x: (x[1], -len(x[0]), x[0]))
-        if n < least:
+        s = int(np.argmax(gain * 1000 - np.minimum(length, 999)))
+        if gain[s] < least:
             break
-        found.add(s)
-        for k in holders[s]:
+        marks[s] = True
+        for k in owner[starts[s] : starts[s + 1]]:
             if not done[k]:
                 done[k] = True
-                gain.subtract(docs[k])
-        gain = +gain
-    # spellings that cover as much as what was found, but always beside it, mark toxic words as well
-    rate = max(least, 5)
-    return found | {s for s in able if s[0] == "=" and len(holders.get(s, ())) >= rate and clean[s] == 0 and len(holders[s]) >= 0.02 * len(docs)}
+                gain[docs[k]] -= 1
+    # whole words that only toxic documents hold, and many of them, stand beside those that explain them
+    return marks | (whole & able & (in_clean == 0) & (in_toxic >= max(least, 5, 0.02 * len(docs))))
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 120) -> Field:
+def fit(texts: list[str], labels: list[int], rounds: int = 100) -> Field:
     """Fit a field on labelled documents."""
     field = Field()
     if not labels:
@@ -186,46 +204,46 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120) -> Field:
     field.constant = sum(labels) / len(labels)
     if not 0 < field.constant < 1:
         return field
-    words = [WORD.findall(t) for t in texts]
-    memo: dict[str, list[str]] = {}
-    for ws in words:
-        for w in ws:
-            if w not in memo:
-                memo[w] = spellings(w)
-    clean, toxic = Counter(), []
-    for ws, y in zip(words, labels):
-        own = {s for w in set(ws) for s in memo[w]}
+    types: dict[str, int] = {}
+    docs = [np.array([types.setdefault(w, len(types)) for w in WORD.findall(t)], np.int32) for t in texts]
+    rows, number, length, whole = _spelled(list(types))
+    types.clear()
+    in_clean, toxic = np.zeros(len(length), np.int64), []
+    for d, y in zip(docs, labels):
+        own = np.unique(number[np.unique(d)])
+        own = own[own >= 0]
         if y:
             toxic.append(own)
         else:
-            clean.update(own)
-    marks = _cover(toxic, clean, max(1.0, 0.002 * (len(labels) - len(toxic))))
+            in_clean[own] += 1
+    marks = np.append(_cover(toxic, in_clean, len(labels) - len(toxic), length, whole), False)
+    marked = marks[number].any(1)
+    del toxic, number
     # windows of words: around marked ones, and spread evenly over all documents
-    types: dict[str, int] = {}
     span, seqs, tags = 24, [], []
-    for ws, y in zip(words, labels):
-        ids = [types.setdefault(w, len(types)) for w in ws]
-        t = [int(bool(y) and not marks.isdisjoint(memo[w])) for w in ws]
-        for at in sorted({max(0, min(k - span // 2, len(ws) - span)) for k, x in enumerate(t) if x} | set(range(0, max(1, len(ws)), 6 * span))):
-            if at < len(ids):
-                seqs.append(ids[at : at + span])
-                tags.append(t[at : at + span])
+    for ids, y in zip(docs, labels):
+        t = marked[ids] & bool(y)
+        for at in sorted({max(0, min(int(k) - span // 2, len(ids) - span)) for k in np.flatnonzero(t)} | set(range(0, len(ids), 6 * span))):
+            seqs.append(ids[at : at + span])
+            tags.append(t[at : at + span])
     if not seqs:
         return field
+    del docs
     size = np.array([len(s) for s in seqs])
-    ids, y = np.zeros((len(seqs), span), np.int64), np.zeros((len(seqs), span))
+    ids, y = np.zeros((len(seqs), span), np.int32), np.zeros((len(seqs), span))
     for k, (s, t) in enumerate(zip(seqs, tags)):
         ids[k, : len(s)], y[k, : len(t)] = s, t
     mask = np.arange(span) < size[:, None]
-    feats = [feature_ids(w) for w in types]
-    owner, flat = np.repeat(np.arange(len(feats)), [len(f) for f in feats]), np.array([x for f in feats for x in f])
+    del seqs, tags
+    on = rows >= 0
+    owner, flat, n_types = np.nonzero(on)[0], rows[on] % SIZE, len(rows)
     theta = np.concatenate((np.full(SIZE, -0.2), np.zeros(6)))  # weights, step, start
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     total = mask.sum()
     for r in range(1, rounds + 1):
-        u = np.clip(np.bincount(owner, theta[flat], len(feats)), -30, 30)[ids]
+        u = np.clip(np.bincount(owner, theta[flat], n_types), -30, 30)[ids]
         g = _gradient(u, y, mask, theta[SIZE : SIZE + 4].reshape(2, 2), theta[SIZE + 4 :])
-        by_type = np.bincount(ids.ravel(), (g[0] * mask).ravel(), len(feats))
+        by_type = np.bincount(ids.ravel(), (g[0] * mask).ravel(), n_types)
         grad = np.concatenate((np.bincount(flat, by_type[owner], SIZE), g[1].ravel(), g[2])) / total + 1e-7 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad * grad
         theta = theta - 0.15 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.98**r)) + 1e-9)
@@ -276,13 +294,9 @@ def _gradient(u, y, mask, step, start):
 
 def learn(docs: DataFrame, labels: DataFrame, most_docs: int = 2000) -> Field:
     """Fit on labelled documents outside the held-out fifth (crc32 of the id's text modulo 5 is 0)."""
-    rows = docs.select("doc_id", "text").where(common.crc_rest(F.col("doc_id"), 5) != 0)
-    rows = rows.join(labels.select("doc_id", "toxic").where("toxic in (0, 1)").dropDuplicates(), "doc_id")
-    got = []
-    for y in (0, 1):
-        got += rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).select("text", "toxic").collect()
-    seen = dict.fromkeys((r[0] or "", int(r[1])) for r in got)  # copies of a text count once
-    return fit([t for t, _ in seen], [y for _, y in seen])
+    ids = labels.select("doc_id", F.col("toxic").alias("label")).where("label in (0, 1)").where(common.crc_rest(F.col("doc_id"), 5) != 0)
+    seen = dict.fromkeys(common.labelled_sample(docs, ids, [0, 1], most_docs))  # copies of a text count once
+    return fit([t for t, _ in seen], [int(y) for _, y in seen])
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
