@@ -90,6 +90,23 @@ class Models:
         return self.scores(values) >= np.maximum(self.least, self.per_char * size)
 
 
+def _counted(total: np.ndarray):
+    at = np.flatnonzero(total.ravel())
+    return pa.RecordBatch.from_pydict({"i": at, "n": total.ravel()[at]})
+
+
+def _add(total: np.ndarray, kind: int, values: list[str]) -> None:
+    if values:
+        total[kind] += np.bincount(pairs_of(values)[0], minlength=SIGNS * SIGNS)
+
+
+def _models(counts: DataFrame) -> Models:
+    total = np.zeros(2 * SIGNS * SIGNS, np.int64)
+    for i, n in counts.groupBy("i").agg(F.sum("n").alias("n")).collect():
+        total[i] = n
+    return Models(total[SIGNS * SIGNS :], total[: SIGNS * SIGNS])
+
+
 def fit(samples: DataFrame) -> Models:
     """Models from labelled samples (value string, secret boolean): distributed pair counts, a fixed-size table each."""
 
@@ -98,39 +115,26 @@ def fit(samples: DataFrame) -> Models:
         for batch in batches:
             values, label = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for k in (0, 1):
-                own = [v for v, y in zip(values, label) if v and y is not None and bool(y) == bool(k)]
-                if own:
-                    total[k] += np.bincount(pairs_of(own)[0], minlength=SIGNS * SIGNS)
-        at = np.flatnonzero(total.ravel())
-        yield pa.RecordBatch.from_pydict({"i": at, "n": total.ravel()[at]})
+                _add(total, k, [v for v, y in zip(values, label) if v and y is not None and bool(y) == bool(k)])
+        yield _counted(total)
 
     return _models(samples.select("value", "secret").mapInArrow(run, "i long, n long"))
 
 
-def _models(counts: DataFrame) -> Models:
-    total = np.zeros(2 * SIGNS * SIGNS, np.int64)
-    got = counts.groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    total[got["i"].to_numpy()] = got["n"].to_numpy()
-    return Models(total[SIGNS * SIGNS :], total[: SIGNS * SIGNS])
-
-
-def labelled(docs: DataFrame) -> DataFrame:
-    """Labelled samples from the documents themselves: values of base spans are secrets, other key-like runs are not."""
+def fit_on_base(docs: DataFrame) -> Models:
+    """Models from what the documents label themselves: values of base spans are secrets, other key-like runs are not."""
 
     def run(batches):
+        total = np.zeros((2, SIGNS * SIGNS), np.int64)
         for batch in batches:
-            values, label = [], []
-            for t in batch.column(0).to_pylist():
-                if t:
+            for t in batch.column(0):
+                if t := t.as_py():
                     base = base_spans(t)
-                    values += [x[3] for x in base]
-                    label += [True] * len(base)
-                    rest = candidates(t, base)
-                    values += [x[2] for x in rest]
-                    label += [False] * len(rest)
-            yield pa.RecordBatch.from_pydict({"value": pa.array(values, pa.string()), "secret": pa.array(label, pa.bool_())})
+                    _add(total, 1, [x[3] for x in base])
+                    _add(total, 0, [x[2] for x in candidates(t, base)])
+        yield _counted(total)
 
-    return docs.select("text").mapInArrow(run, "value string, secret boolean")
+    return _models(docs.select("text").mapInArrow(run, "i long, n long"))
 
 
 def spans_of(text, models: Models) -> list[tuple[int, int, int]]:
@@ -194,4 +198,4 @@ def redact(docs: DataFrame, models: Models, mark: str = "<SECRET>") -> DataFrame
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan(docs, fit(labelled(docs)))
+    return scan(docs, fit_on_base(docs))
