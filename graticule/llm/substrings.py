@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +35,11 @@ GRAM = 64
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 20
 #: Distinct reaches of one anchor that one task compares.
-HOT = 100_000
+HOT = 30_000
+#: Reaches that one suffix array holds, if an anchor has no more.
+TOGETHER = 1_500
 #: Bytes of text, anchors, and reaches in one group of rows that a task holds.
-PART_BYTES, BUCKET_ANCHORS, BUCKET_REACHES = 24 << 20, 600_000, 20_000
+PART_BYTES, BUCKET_ANCHORS, BUCKET_REACHES = 12 << 20, 600_000, 20_000
 
 _RNG = np.random.default_rng(20)
 CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -88,11 +91,14 @@ def _sliding(x: np.ndarray, width: int, take) -> np.ndarray:
     return x if k == width else take(x[: len(x) - (width - k)], x[width - k :])
 
 
-def anchors(raw: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, Hashes]:
-    """Positions and hashes of the anchors of texts laid end to end; first: where each text starts, and the end."""
+def anchors(raw: np.ndarray, first: np.ndarray, width: int):
+    """(position, hash, first and last start of its strings) of the anchors of texts laid end to end, and the hashes of the bytes.
+
+    first: where each text starts, and the end.  An anchor's strings are those of which it is the least; they follow on one another.
+    """
     hashes = Hashes(raw)
     if len(raw) < width:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), hashes
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)), hashes
     h = np.maximum(hashes.grams(GRAM), np.uint64(1))
     reach = width - GRAM + 1
     least = _sliding(h, reach, np.minimum)  # of the strings that start at each place
@@ -102,27 +108,42 @@ def anchors(raw: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray,
     least[~whole[: len(least)]] = 0
     pad = np.zeros(reach - 1, np.uint64)
     at = np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), reach, np.maximum) == h)
-    return at, h[at], hashes
+    # runs of strings with one least hash; an anchor's run is the nearest one before it that has its hash
+    runs = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    last = np.append(runs[1:], len(least)) - 1
+    own = np.searchsorted(runs, np.minimum(at, len(least) - 1), side="right") - 1
+    while (other := least[runs[own]] != h[at]).any():
+        own[other] -= 1
+    return (at, h[at], np.maximum(runs[own], at - reach + 1), np.minimum(last[own], at)), hashes
+
+
+def _reaches(found, hashes: Hashes, width: int):
+    """(position, anchor, bytes of its reach to the left, to the right, hash of the reach)."""
+    at, h, low, high = found
+    left, right = at - low, high + width - at - GRAM
+    full = hashes.of(low, high + width) ^ (left.astype(np.uint64) * np.uint64(BASE))
+    return at, h, left.astype(np.uint16), right.astype(np.uint16), full
 
 
 def _places(texts: list[bytes], width: int):
-    """(text number, position, anchor, hash of its reach) of all anchors, piece by piece."""
-    side = width - GRAM
+    """(text number, position, anchor, left, right, hash of its reach) of all anchors, piece by piece."""
     batch, numbers, size = [], [], 0
 
     def flush():
         first = np.concatenate(([0], np.cumsum([len(t) for t in batch])))
-        at, h, hashes = anchors(np.frombuffer(b"".join(batch), np.uint8), first, width)
+        found, hashes = anchors(np.frombuffer(b"".join(batch), np.uint8), first, width)
+        at, *rest = _reaches(found, hashes, width)
         own = np.searchsorted(first, at, side="right") - 1
-        start, end = np.maximum(first[own], at - side), np.minimum(first[own + 1], at + width)
-        full = hashes.of(start, end) ^ ((at - start).astype(np.uint64) * np.uint64(BASE)) ^ ((end - at).astype(np.uint64) * MIX)
-        return np.array(numbers, np.int64)[own], at - first[own], h, full
+        return np.array(numbers, np.int64)[own], at - first[own], *rest
 
     for k, t in enumerate(texts):
         if len(t) < width:
             continue
-        if len(t) > PIECE:
-            yield from _long(k, t, width)
+        if len(t) > PIECE:  # strings that start in each piece
+            for at in range(0, len(t) - width + 1, PIECE):
+                span = np.frombuffer(t, np.uint8)[at : at + PIECE + width - 1]
+                place, *rest = _reaches(*anchors(span, np.array([0, len(span)]), width), width)
+                yield np.full(len(place), k), place + at, *rest
             continue
         if size + len(t) > PIECE and batch:
             yield flush()
@@ -134,19 +155,13 @@ def _places(texts: list[bytes], width: int):
         yield flush()
 
 
-def _long(k: int, text: bytes, width: int):
-    """The same for one long text, in pieces that overlap by what a string and its reach need."""
-    side, last = width - GRAM, len(text) - width
-    for at in range(0, last + 1, PIECE):
-        lo, hi = max(0, at - side), min(len(text), at + PIECE + 2 * width)
-        raw = np.frombuffer(text, np.uint8)[lo:hi]
-        # anchors of the strings that start in this piece alone
-        span = np.frombuffer(text, np.uint8)[at : min(len(text), at + PIECE + width - 1)]
-        own, h, _ = anchors(span, np.array([0, len(span)]), width)
-        own = own + at
-        start, end = np.maximum(0, own - side), np.minimum(len(text), own + width)
-        full = Hashes(raw).of(start - lo, end - lo) ^ ((own - start).astype(np.uint64) * np.uint64(BASE)) ^ ((end - own).astype(np.uint64) * MIX)
-        yield np.full(len(own), k), own, h, full
+#: What is known of an anchor, as arrays of bytes.
+PLACE = {"key": np.int64, "at": np.int64, "left": np.uint16, "right": np.uint16, "a": np.uint64}
+
+
+def _columns(table: pa.Table, kinds: dict) -> list[np.ndarray]:
+    """Arrays that a table holds as bytes, of all rows together."""
+    return [np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in kinds.items()]
 
 
 def _split(order: np.ndarray, keys: np.ndarray):
@@ -157,92 +172,111 @@ def _split(order: np.ndarray, keys: np.ndarray):
             yield int(keys[run[0]]), run
 
 
-def _ranked(x: np.ndarray) -> np.ndarray:
-    """Common prefix of each row of bytes (uint16, row end 256) with the row before it."""
-    differ = x[1:] != x[:-1]
-    at = differ.argmax(1)
-    return np.concatenate(([0], np.where(differ.any(1), at, x.shape[1])))
-
+def _paths(groups: np.ndarray, texts: list[bytes], numbers: int):
+    """What each text shares with others of its group, as a path in the trie of the group's texts, from the deepest branch up.
 
-def repeats(groups: np.ndarray, left: list[bytes], right: list[bytes], single: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """(row, bytes to the left of its anchor, bytes to the right after it) of the repeats of `single` rows.
+    Returns a start for each row and, for each branch, the next one up (-1 at the top), its depth, and a number from `numbers` on.
+    """
+    n = len(texts)
+    size = np.fromiter(map(len, texts), np.int64, n)
+    width = max(1, int(size.max()) if n else 1)
+    packed = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), f"S{width}")
+    order = np.lexsort((size, packed, groups))  # a text that another goes on is the smaller
+    x = packed.view(np.uint8).reshape(n, width)[order]
+    own = size[order]
+    differ = x[1:] != x[:-1]
+    share = np.where(differ.any(1), differ.argmax(1), width)
+    share = np.minimum(share, np.minimum(own[1:], own[:-1]))
+    share[groups[order][1:] != groups[order][:-1]] = 0
+    start, up, depth, open_ = [-1] * n, [], [], []
+    for r, h in enumerate([*share.tolist(), 0]):
+        below = -1  # the branch that hangs on what comes next; -1 for the row itself
+        while open_ and depth[open_[-1]] > h:
+            top = open_.pop()
+            if below < 0:
+                start[order[r]] = top
+            else:
+                up[below] = top
+            below = top
+        if h and not (open_ and depth[open_[-1]] == h):
+            open_.append(len(up))
+            up.append(-1)
+            depth.append(h)
+        if open_:
+            if below < 0:
+                start[order[r]] = open_[-1]
+            else:
+                up[below] = open_[-1]
+    return start, up, depth, numbers
+
+
+def repeats(groups: np.ndarray, left: list[bytes], right: list[bytes], single: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, bytes to the left of its anchor, bytes to the right after it) of the repeats of `single` rows.
 
     groups: the anchor of each row; left, right: the text on either side of it.
     """
     n = len(groups)
-    depth = []  # per side: for each row, the cuts of what it shares, nearest first, and a class for each cut
-    for texts in ([t[::-1] for t in left], right):
-        most = max(1, max(map(len, texts)))
-        x = np.full((n, most + 1), 256, np.uint16)
-        for k, t in enumerate(texts):
-            x[k, : len(t)] = np.frombuffer(t, np.uint8)
-        size = np.array([len(t) for t in texts])
-        packed = np.ascontiguousarray(x.astype(">u2")).view(f"S{2 * (most + 1)}").ravel()
-        order = np.lexsort((packed, groups))
-        g = groups[order]
-        share = np.minimum(_ranked(x[order]), np.minimum(size[order], np.concatenate(([0], size[order][:-1]))))
-        share[np.concatenate(([True], g[1:] != g[:-1]))] = -1
-        after = np.append(share[1:], -1)
-        own: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        cuts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            part, rows, top = share[s + 1 : e], order[s:e], np.maximum(share[s:e], after[s:e])
-            for d in np.unique(part[part > 0]).tolist():
-                label = np.concatenate(([0], np.cumsum(part < d)))
-                for k in np.flatnonzero(top >= d).tolist():
-                    own[rows[k]].append((d, int(s + label[k])))
-        depth.append(own)
-    number: dict[tuple, int] = {}
-    text, weight, owner, where = [], [], [], []
-    for k in range(n):
-        g = int(groups[k])
-        lefts, rights = depth[0][k], depth[1][k]
-        done = 0
-        marks = []
-        for d, c in lefts:
-            marks.append((d - done, (0, d, c, g), d))
-            done = d
-        for w, key, d in reversed(marks):
-            text.append(number.setdefault(key, len(number) + 2))
-            weight.append(w)
-            owner.append(k)
-            where.append(d)
-        text.append(number.setdefault((1, g), len(number) + 2))
+    _, anchor = np.unique(groups, return_inverse=True)
+    first = int(anchor.max()) + 3 if n else 3
+    l_start, l_up, l_depth, l_first = _paths(groups, [t[::-1] for t in left], first)
+    r_start, r_up, r_depth, r_first = _paths(groups, right, first + len(l_up))
+    text, weight, where, begin = [], [], [], []
+    for k, g in enumerate((anchor + 2).tolist()):
+        begin.append(len(text))
+        b = l_start[k]
+        while b >= 0:
+            nxt = l_up[b]
+            text.append(l_first + b)
+            weight.append(l_depth[b] - (l_depth[nxt] if nxt >= 0 else 0))
+            where.append(l_depth[b])
+            b = nxt
+        text.append(g)
         weight.append(GRAM)
-        owner.append(k)
         where.append(0)
-        done = 0
-        for d, c in rights:
-            text.append(number.setdefault((2, d, c, g), len(number) + 2))
-            weight.append(d - done)
-            owner.append(k)
-            where.append(-1)
-            done = d
+        at, b = len(text), r_start[k]
+        while b >= 0:
+            nxt = r_up[b]
+            text.append(r_first + b)
+            weight.append(r_depth[b] - (r_depth[nxt] if nxt >= 0 else 0))
+            b = nxt
+        text[at:] = text[at:][::-1]
+        weight[at:] = weight[at:][::-1]
+        where += [-1] * (len(text) - at + 1)
         text.append(1)  # the end of a row
         weight.append(0)
-        owner.append(k)
-        where.append(-1)
     order = suffix_array(text)
-    shared = common_prefixes(text, order)
-    total = np.concatenate(([0], np.cumsum(weight))).tolist()
-    end = {}  # first place past each row's symbols
-    for i, k in enumerate(owner):
-        end[k] = i
-    out = []
-    for r, i in enumerate(order):
-        k, d = owner[i], where[i]
-        if d < 0 or not single[k]:
-            continue
-        most = max(shared[r], shared[r + 1] if r + 1 < len(order) else 0)
-        reach = total[min(i + most, end[k])] - total[i]
-        if reach >= width:
-            out.append((k, d, reach - d - GRAM))
-    return out
+    shared = np.array([*common_prefixes(text, order), 0], np.int64)
+    total = np.concatenate(([0], np.cumsum(np.array(weight, np.int64))))
+    i = np.array(order, np.int64)
+    begin = np.array(begin, np.int64)
+    owner = np.searchsorted(begin, i, side="right") - 1
+    end = np.append(begin[1:], len(text))[owner] - 1  # where the row's end stands
+    reach = total[np.minimum(i + np.maximum(shared[:-1], shared[1:]), end)] - total[i]
+    d = np.array(where, np.int64)[i]
+    hit = (d >= 0) & (reach >= width) & np.asarray(single)[owner]
+    # all repeats of a row hold its anchor, so together they are one stretch
+    to_left, to_right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+    np.maximum.at(to_left, owner[hit], d[hit])
+    np.maximum.at(to_right, owner[hit], (reach - d - GRAM)[hit])
+    rows = np.flatnonzero(to_left >= 0)
+    return rows, to_left[rows], to_right[rows]
+
+
+def together(groups: np.ndarray):
+    """Positions of rows, whole groups at a time, about TOGETHER of them or one group."""
+    order = np.argsort(groups, kind="stable")
+    cuts = np.flatnonzero(np.diff(groups[order])) + 1
+    ends, at = np.append(cuts, len(order)), 0
+    while at < len(order):
+        stop = ends[np.searchsorted(ends, at, side="right")]
+        more = ends[np.searchsorted(ends, at + TOGETHER, side="right") - 1] if len(ends) and ends[0] <= at + TOGETHER else stop
+        stop = max(int(stop), int(more))
+        yield order[at:stop]
+        at = stop
 
 
 def spans(docs: DataFrame, width: int = 200) -> tuple:
-    """Keyed documents (part, key, doc_id, text), sifted anchors, the other repeats (part, key, start, end), a reader of the anchors, and the number of parts."""
-    side = width - GRAM
+    """Keyed documents (part, key, doc_id, text), sifted anchors, and the other repeats (part, key, start, end)."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     volume = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()[0]
     parts, buckets = max(16, -(-volume // PART_BYTES)), max(16, -(-volume // (60 * BUCKET_ANCHORS)))
@@ -255,18 +289,18 @@ def spans(docs: DataFrame, width: int = 200) -> tuple:
                 found = list(_places([common.utf8(t.as_py()) for t in slice_.column(1)], width))
                 if not found:
                     continue
-                own, at, a, c = (np.concatenate(x) for x in zip(*found))
+                own, at, a, left, right, c = (np.concatenate(x) for x in zip(*found))
                 bucket = (a >> np.uint64(8)) % np.uint64(buckets)
                 for b, run in _split(np.argsort(bucket, kind="stable"), bucket):
-                    blob = [keys[own[run]].tobytes(), at[run].astype(np.int64).tobytes(), a[run].tobytes(), c[run].tobytes()]
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), **{n: pa.array([x], pa.binary()) for n, x in zip(("key", "at", "a", "c"), blob)}})
+                    blobs = (keys[own[run]], at[run].astype(np.int64), left[run], right[run], a[run], c[run])
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip((*PLACE, "c"), blobs)}})
 
-    filed = keyed.select("key", "text").mapInArrow(file, "bucket int, key binary, at binary, a binary, c binary")
+    place = ", ".join(f"{n} binary" for n in PLACE)
+    filed = keyed.select("key", "text").mapInArrow(file, f"bucket int, {place}, c binary")
 
     def sift(table: pa.Table) -> pa.Table:
-        key, at, a, c = (np.frombuffer(b"".join(x for x in table.column(n).to_pylist()), t) for n, t in (("key", np.int64), ("at", np.int64), ("a", np.uint64), ("c", np.uint64)))
-        order = np.lexsort((at, key, c, a))
-        key, at, a, c = key[order], at[order], a[order], c[order]
+        columns = _columns(table, PLACE | {"c": np.uint64})
+        key, at, left, right, a, c = (x[np.lexsort((columns[1], columns[0], columns[5], columns[4]))] for x in columns)
         new_a = np.concatenate(([True], a[1:] != a[:-1]))
         new_c = new_a | np.concatenate(([True], c[1:] != c[:-1]))
         of_a, of_c = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
@@ -278,27 +312,20 @@ def spans(docs: DataFrame, width: int = 200) -> tuple:
         hot = np.where(kinds[of_a] > HOT, 2, 0)
         status = np.where(full, np.where(new_c & several, 2 + hot, 0), np.where(several, 1 + hot, -1))
         keep = status >= 0
-        key, at, a, status = key[keep], at[keep], a[keep], status[keep].astype(np.int8)
-        part = key % parts  # as pmod: Python and numpy round down
-        rows = {n: [] for n in ("part", "key", "at", "a", "status")}
+        part = key[keep] % parts  # as pmod: Python and numpy round down
+        rows = {n: [] for n in ("part", *PLACE, "status")}
         for p, run in _split(np.argsort(part, kind="stable"), part):
             rows["part"].append(p)
-            for n, x in (("key", key), ("at", at), ("a", a), ("status", status)):
-                rows[n].append(x[run].tobytes())
+            for n, x in zip((*PLACE, "status"), (key, at, left, right, a, status.astype(np.int8))):
+                rows[n].append(x[keep][run].tobytes())
         kinds_ = {"part": pa.int32()}
         return pa.table({n: pa.array(x, kinds_.get(n, pa.binary())) for n, x in rows.items()})
 
-    sifted = common.stored(filed.groupBy("bucket").applyInArrow(sift, "part int, key binary, at binary, a binary, status binary"), "anchors")
-
-    def rows_of(table: pa.Table):
-        if not table.num_rows:
-            return (np.zeros(0, np.int64),) * 4
-        return tuple(np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in (("key", np.int64), ("at", np.int64), ("a", np.uint64), ("status", np.int8)))
+    sifted = common.stored(filed.groupBy("bucket").applyInArrow(sift, f"part int, {place}, status binary"), "anchors")
 
     def fetch(texts: pa.Table, wanted: pa.Table) -> pa.Table:
-        key, at, a, status = rows_of(wanted)
-        on = status > 0
-        key, at, a, status = key[on], at[on], a[on], status[on]
+        columns = _columns(wanted, PLACE | {"status": np.int8})
+        key, at, before, after, a, status = (x[columns[5] > 0] for x in columns)
         place = {k: r for r, k in enumerate(texts.column("key").to_pylist())}
         out = {n: [] for n in ("a", "key", "at", "status", "left", "right")}
         column = texts.column("text")
@@ -306,8 +333,8 @@ def spans(docs: DataFrame, width: int = 200) -> tuple:
             raw = common.utf8(column[place[k]].as_py())
             for r in run:
                 p = int(at[r])
-                out["left"].append(raw[max(0, p - side) : p])
-                out["right"].append(raw[p + GRAM : p + width])
+                out["left"].append(raw[p - int(before[r]) : p])
+                out["right"].append(raw[p + GRAM : p + GRAM + int(after[r])])
             out["key"].append(np.full(len(run), k))
             out["at"].append(at[run])
             out["a"].append(a[run].view(np.int64))
@@ -322,18 +349,20 @@ def spans(docs: DataFrame, width: int = 200) -> tuple:
     n_buckets = max(16, -(-kinds.get(False, 0) // BUCKET_REACHES))
 
     def compare(table: pa.Table) -> pa.Table:
-        key, at = table.column("key").to_numpy(), table.column("at").to_numpy()
-        got = repeats(table.column("a").to_numpy(), table.column("left").to_pylist(), table.column("right").to_pylist(), table.column("status").to_numpy() == 1, width)
-        rows = np.array(got, np.int64).reshape(-1, 3)
-        k = rows[:, 0]
-        return pa.table({"part": (key[k] % parts).astype(np.int32), "key": key[k], "start": at[k] - rows[:, 1], "end": at[k] + GRAM + rows[:, 2]})
+        key, at, a, single = (table.column(n).to_numpy() for n in ("key", "at", "a", "status"))
+        left, right, found = table.column("left"), table.column("right"), []
+        for rows in together(a):
+            k, before, after = repeats(a[rows], left.take(pa.array(rows)).to_pylist(), right.take(pa.array(rows)).to_pylist(), single[rows] == 1, width)
+            k = rows[k]
+            found.append(((key[k] % parts).astype(np.int32), key[k], at[k] - before, at[k] + GRAM + after))
+        return pa.table(dict(zip(("part", "key", "start", "end"), (np.concatenate(x) for x in zip(*found)))))
 
     shape = "part int, key long, start long, end long"
     near = reaches.where("status < 3").withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(n_buckets)))
     found = near.groupBy("bucket").applyInArrow(compare, shape)
     if kinds.get(True):
         found = found.unionByName(_counted(reaches.where("status > 2"), width, parts, shape))
-    return keyed, sifted, found, rows_of, parts
+    return keyed, sifted, found
 
 
 def _counted(reaches: DataFrame, width: int, parts: int, shape: str) -> DataFrame:
@@ -358,25 +387,23 @@ def _counted(reaches: DataFrame, width: int, parts: int, shape: str) -> DataFram
 
 def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans) for every row; kept is what stays of the text, as bytes."""
-    side = width - GRAM
-    keyed, sifted, found, rows_of, parts = spans(docs, width)
+    keyed, sifted, found = spans(docs, width)
 
     def blobs(table: pa.Table) -> pa.Table:
         return pa.table({"part": table.column("part").slice(0, 1), **{n: pa.array([table.column(n).to_numpy().tobytes()], pa.binary()) for n in ("key", "start", "end")}})
 
-    sure = sifted.select("part", F.lit(True).alias("anchor"), "key", "at", "a", "status", F.lit(None).cast("binary").alias("end"))
+    none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
+    sure = sifted.select("part", *PLACE, "status", *none("start", "end"))
     more = found.groupBy("part").applyInArrow(blobs, "part int, key binary, start binary, end binary")
-    more = more.select("part", F.lit(False).alias("anchor"), "key", F.col("start").alias("at"), F.lit(None).cast("binary").alias("a"), F.lit(None).cast("binary").alias("status"), "end")
-    covered = sure.unionByName(more)
+    covered = sure.unionByName(more.select("part", "key", *none("at", "left", "right", "a", "status"), "start", "end"))
 
     def cut(texts: pa.Table, table: pa.Table) -> pa.Table:
-        flag = table.column("anchor").to_numpy() if table.num_rows else np.zeros(0, bool)
-        key, at, _, status = rows_of(table.filter(pa.array(flag)))
-        on = (status == 0) | (status == 2) | (status == 4)
-        rest = table.filter(pa.array(~flag))
-        key2, start, end = (np.frombuffer(b"".join(rest.column(n).to_pylist()), np.int64) for n in ("key", "at", "end"))
-        keys = np.concatenate((key[on], key2))
-        starts, ends = np.concatenate((np.maximum(0, at[on] - side), start)), np.concatenate((at[on] + width, end))
+        anchored = table.column("status").is_valid()
+        columns = _columns(table.filter(anchored), PLACE | {"status": np.int8})
+        key, at, left, right = (x[np.isin(columns[5], (0, 2, 4))].astype(np.int64) for x in columns[:4])
+        key2, start, end = _columns(table.filter(pa.compute.invert(anchored)), {"key": np.int64, "start": np.int64, "end": np.int64})
+        keys = np.concatenate((key, key2))
+        starts, ends = np.concatenate((at - left, start)), np.concatenate((at + GRAM + right, end))
         of = dict(_split(np.argsort(keys, kind="stable"), keys))
         out = {n: [] for n in ("kept", "n_bytes", "n_removed", "n_spans")}
         for k, t in zip(texts.column("key").to_pylist(), texts.column("text")):
