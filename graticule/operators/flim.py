@@ -1,0 +1,234 @@
+"""Feature learning from markers, layer by layer, on graphs and on rasters.
+
+A layer: statistics over all markers, z-score, the neighbourhood of each node or pixel as one patch, a bank of kernels learned
+from marker patches, activation, and pooling over neighbours.  Statistics, scores, joins and pooling are
+DataFrame operations; the sequential searches run per graph; the bank is small and lives on the driver.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..sources.formats import Architecture, Layer
+from . import graphs, samples
+
+
+def marker_statistics(nodes: DataFrame, seeds: DataFrame, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population deviation + factor of the features of all markers of all graphs."""
+    own = nodes.join(seeds.select("graph_id", "node"), ["graph_id", "node"])
+    rows = samples.feature_statistics(own).orderBy("dim").collect()
+    return np.array([r["mean"] for r in rows]), np.array([r["stdev_pop"] for r in rows]) + factor
+
+
+def normalised(nodes: DataFrame, mean: np.ndarray, stdev: np.ndarray) -> DataFrame:
+    m, s = F.array(*map(F.lit, mean.tolist())), F.array(*map(F.lit, stdev.tolist()))
+    return nodes.withColumn("feat", F.zip_with(F.zip_with("feat", m, lambda a, b: a - b), s, lambda a, b: a / b))
+
+
+def patches(nodes: DataFrame, edges: DataFrame, size: int, dilation: int = 1) -> DataFrame:
+    """(graph_id, node, patch): features of the `size` nearest along the graph, itself first, by distance; zeros for what lacks."""
+    near = graphs.ring_neighbours(nodes.select("graph_id", "node", "feat"), edges, size, dilation)
+    feats = near.join(nodes.select("graph_id", F.col("node").alias("neighbour"), "feat"), ["graph_id", "neighbour"])
+    rows = feats.groupBy("graph_id", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feat"))), lambda r: r["feat"]).alias("fs"))
+    bands = F.size(F.col("fs")[0])
+    lack = F.array_repeat(F.lit(0.0), ((size - F.size("fs")) * bands).cast("int"))
+    return rows.select("graph_id", "node", F.concat(F.flatten("fs"), lack).alias("patch"))
+
+
+def grouped_markers(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(graph_id, node, marker): components of seeds that touch, whatever their labels."""
+    ids = lambda c: F.struct(F.col("graph_id"), F.col(c).alias("n"))
+    found = graphs.marker_components(edges.select(ids("src").alias("src"), ids("dst").alias("dst")), seeds.select(ids("node").alias("node")))
+    return found.select("node.graph_id", F.col("node.n").alias("node"), F.col("component.n").alias("marker"))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(-1, keepdims=True))
+    return np.where(n > 0.001, x / np.maximum(n, 1e-12), x)
+
+
+def spherical_means(x: np.ndarray, k: int, rounds: int = 100, close: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """k prototypes of rows by cosine: the samples nearest to the means of their groups, and each group's size.  Starts from rows spread evenly."""
+    if len(x) <= k:
+        return x, np.ones(len(x), int)
+    centres = x[np.linspace(0, len(x) - 1, k).astype(int)]
+    for _ in range(rounds):
+        group = (_unit(x) @ _unit(centres).T).argmax(1)
+        new = np.stack([x[group == c].mean(0) if (group == c).any() else centres[c] for c in range(k)])
+        moved = np.abs(new - centres).max()
+        centres = new
+        if moved <= close:
+            break
+    own, sizes = [], []
+    for c in range(k):
+        at = np.flatnonzero(group == c)
+        if len(at):
+            own.append(x[at[((x[at] - centres[c]) ** 2).sum(1).argmin()]])
+            sizes.append(len(at))
+    return np.stack(own), np.array(sizes)
+
+
+def marker_kernels(patch_rows: DataFrame, per_marker: int, per_image: int) -> DataFrame:
+    """(graph_id, marker, w) of each image: prototypes of each marker's patches at length one; groups below a twentieth are left out."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for marker, rows in pdf.sort_values(["marker", "node"]).groupby("marker"):
+            x = np.stack(rows["patch"].to_numpy())
+            got, sizes = spherical_means(x, per_marker)
+            least = max(int(0.05 * len(x)), 1)
+            out += [(marker, w) for w, n in zip(_unit(got), sizes) if n >= least]
+        w = np.stack([x for _, x in out])
+        if len(w) > per_image:
+            w, _ = spherical_means(w, per_image)
+            out = [(-1, x) for x in _unit(w)]
+        return pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "marker": [m for m, _ in out], "w": [x.tolist() for _, x in out]})
+
+    return patch_rows.groupBy("graph_id").applyInPandas(run, "graph_id string, marker long, w array<double>")
+
+
+def consensus(kernels: np.ndarray, channels: int) -> np.ndarray:
+    """One bank (kernel per row) of all images' kernels: all if few enough, principal axes if more kernels than weights, else prototypes."""
+    n, d = kernels.shape
+    if n <= channels:
+        return kernels
+    if n > d:
+        _, _, axes = np.linalg.svd(kernels - kernels.mean(0), full_matrices=False)
+        axes = axes[:channels]
+        return axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+    return _unit(spherical_means(kernels, channels)[0])
+
+
+def folded(bank: np.ndarray, mean: np.ndarray, stdev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bank and bias that give on raw patches what `bank` gives on z-scored ones: w / stdev, and -sum(mean * w / stdev)."""
+    taps = bank.shape[1] // len(mean)
+    w = bank / np.tile(stdev, taps)
+    return w, -(w * np.tile(mean, taps)).sum(1)
+
+
+def selected(bank: np.ndarray, choice: str) -> np.ndarray:
+    """Kernels by a list from 1, as `2,-3,5-7`; a minus turns a kernel's sign."""
+    out = []
+    for part in choice.split(","):
+        part = part.strip()
+        sign, body = (-1, part[1:]) if part.startswith("-") else (1, part)
+        low, _, high = body.partition("-")
+        for k in range(int(low), int(high or low) + 1):
+            if not 1 <= k <= len(bank):
+                raise ValueError(f"there is no kernel {k}")
+            out.append(sign * bank[k - 1])
+    return np.stack(out)
+
+
+def convolved(patch_rows: DataFrame, bank: np.ndarray, bias: np.ndarray | None = None, relu: bool = True, column: str = "patch") -> DataFrame:
+    """The rows with `feat`: patch times bank, plus bias (with relu only), negatives to 0; one matrix product per batch."""
+    bank_ = patch_rows.sparkSession.sparkContext.broadcast((bank, bias if relu else None))
+    keys = [c for c in patch_rows.columns if c != column]
+
+    def run(batches):
+        w, b = bank_.value
+        for pdf in batches:
+            if len(pdf):
+                a = np.stack(pdf[column].to_numpy()) @ w.T
+                if b is not None:
+                    a = a + b
+                if relu:
+                    a = np.maximum(a, 0)
+                yield pdf[keys].assign(feat=list(a))
+
+    shape = ", ".join(f"`{c}` {t}" for c, t in patch_rows.select(keys).dtypes)
+    return patch_rows.mapInPandas(run, f"{shape}, feat array<double>")
+
+
+def pooled(nodes: DataFrame, edges: DataFrame, kind: str, size: int) -> DataFrame:
+    """Features pooled over the size - 1 nearest along the graph, in the space of these features."""
+    if kind not in ("max_pool", "avg_pool"):
+        return nodes
+    near = graphs.ring_neighbours(nodes.select("graph_id", "node", "feat"), edges, size).where("rank > 0")
+    others = near.join(nodes.select("graph_id", F.col("node").alias("neighbour"), F.col("feat").alias("nf")), ["graph_id", "neighbour"]).groupBy("graph_id", "node").agg(F.collect_list("nf").alias("nfs"))
+    joined = nodes.join(others, ["graph_id", "node"], "left")
+    none = F.coalesce("nfs", F.array().cast("array<array<double>>"))
+    if kind == "avg_pool":
+        start, step = F.col("feat"), lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+        out = F.transform(F.aggregate(none, start, step), lambda x: x / size)
+    else:
+        start = F.transform("feat", lambda x: F.lit(float("-inf")))
+        out = F.aggregate(none, start, lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    return joined.withColumn("feat", out).drop("nfs")
+
+
+class TrainedLayer:
+    def __init__(self, layer: Layer, mean: np.ndarray, stdev: np.ndarray, bank: np.ndarray):
+        self.layer, self.mean, self.stdev, self.bank = layer, mean, stdev, bank
+
+    def forward(self, nodes: DataFrame, edges: DataFrame, pool: bool = True) -> DataFrame:
+        size = int(np.prod(self.layer.kernel_size[:2]))
+        z = normalised(nodes, self.mean, self.stdev)
+        rest = nodes.drop("feat")
+        got = convolved(patches(z, edges, size, self.layer.dilation[0]), self.bank, relu=self.layer.relu)
+        got = rest.join(got, ["graph_id", "node"])
+        return pooled(got, edges, self.layer.pool, int(np.prod(self.layer.pool_size[:2]))) if pool else got
+
+
+def train(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, arch: Architecture) -> tuple[list[TrainedLayer], DataFrame]:
+    """All layers learned in turn, and the last layer's features; each layer's output is checkpointed."""
+    out = []
+    markers = grouped_markers(edges, seeds)
+    for layer in arch.layers:
+        mean, stdev = marker_statistics(nodes, seeds, arch.stdev_factor)
+        z = normalised(nodes, mean, stdev)
+        size = int(np.prod(layer.kernel_size[:2]))
+        rows = patches(z, edges, size, layer.dilation[0]).join(markers, ["graph_id", "node"])
+        kernels = marker_kernels(rows, layer.kernels_per_marker, layer.kernels_per_image).orderBy("graph_id", "marker")
+        bank = consensus(np.array([r["w"] for r in kernels.collect()]), layer.channels)
+        out.append(TrainedLayer(layer, mean, stdev, bank))
+        nodes = graphs.cut_lineage(out[-1].forward(nodes, edges))
+    return out, nodes
+
+
+def superpixel_graph(px: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (graph_id, node, num_pixels, feat) and edges of labelled pixels (image_id, x, y, label, feat)."""
+    long = px.select("image_id", "label", F.posexplode("feat").alias("dim", "v")).groupBy("image_id", "label", "dim").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
+    nodes = long.groupBy("image_id", "label").agg(F.max("n").alias("num_pixels"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda r: r["m"]).alias("feat"))
+    here = px.select("image_id", "x", "y", F.col("label").alias("a"))
+    pairs = None
+    for dx, dy in ((1, 0), (0, 1)):
+        there = px.select("image_id", (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.col("label").alias("b"))
+        e = here.join(there, ["image_id", "x", "y"]).where("a <> b").select("image_id", "a", "b")
+        pairs = e if pairs is None else pairs.unionByName(e)
+    both = pairs.unionByName(pairs.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return nodes.select(F.col("image_id").alias("graph_id"), F.col("label").alias("node"), "num_pixels", "feat"), both.select(F.col("image_id").alias("graph_id"), F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def decoded(px: DataFrame, low: float = 0.5) -> DataFrame:
+    """(image_id, p, saliency) of activations (image_id, p, feat): bands whose mean share of their maximum is below `low` are object, others background; each
+    side's weighted mean is scaled to 0..255, and saliency is what object has over background."""
+    long = px.select("image_id", "p", F.posexplode("feat").alias("band", "v"))
+    b = long.groupBy("image_id", "band").agg(F.max("v").alias("top"), F.avg("v").alias("m")).where("top > 0").withColumn("fg", F.col("m") / F.col("top") < low)
+    rows = long.join(F.broadcast(b), ["image_id", "band"])
+    sides = rows.groupBy("image_id", "p").agg(F.coalesce(F.avg(F.when(F.col("fg"), F.col("v"))), F.lit(0.0)).alias("f"), F.coalesce(F.avg(F.when(~F.col("fg"), F.col("v"))), F.lit(0.0)).alias("g"))
+    ends = sides.groupBy("image_id").agg(*[fn(c).alias(f"{c}_{n}") for c in ("f", "g") for n, fn in (("lo", F.min), ("hi", F.max))])
+    scale = lambda c: F.when(F.col(f"{c}_hi") > F.col(f"{c}_lo"), 255 * (F.col(c) - F.col(f"{c}_lo")) / (F.col(f"{c}_hi") - F.col(f"{c}_lo"))).otherwise(0.0)
+    return sides.join(F.broadcast(ends), "image_id").select("image_id", "p", F.greatest(scale("f") - scale("g"), F.lit(0.0)).alias("saliency"))
+
+
+def one_layer(sm: DataFrame, k: int = 9) -> DataFrame:
+    """(label, mean_activation): one layer on samples as a graph of nearest neighbours.
+
+    z-score by training samples; each sample's patch is the mean of its k nearest (itself first) in that space;
+    the bank is the first sample of each class at length one; relu; maximum over the neighbours; mean per class.
+    """
+    z = samples.z_scored_by_training(sm)
+    near = samples.nearest(z, z, k, itself=True).select("id", "neighbour", "rank")
+    first = z.withColumn("r", F.row_number().over(W.partitionBy("truelabel").orderBy("id"))).where("r = 1").select(F.col("truelabel").alias("kernel"), V.unit(F.col("feat")).alias("w"))
+    long = near.join(z.select(F.col("id").alias("neighbour"), "feat"), "neighbour").select("id", F.posexplode("feat").alias("dim", "v"))
+    mean = long.groupBy("id", "dim").agg(F.avg("v").alias("m"))
+    patch = mean.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda r: r["m"]).alias("patch"))
+    act = patch.join(F.broadcast(first)).select("id", "kernel", F.greatest(V.total2(F.col("patch"), F.col("w"), lambda a, b: a * b), F.lit(0.0)).alias("a"))
+    others = near.where("id <> neighbour").join(act.withColumnRenamed("id", "neighbour"), "neighbour").groupBy("id", "kernel").agg(F.max("a").alias("pooled"))
+    return others.join(sm.select("id", "truelabel"), "id").groupBy("truelabel", "kernel").agg(F.avg("pooled").alias("mean_activation"))
