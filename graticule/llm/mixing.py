@@ -76,12 +76,8 @@ def fit(texts: list[str], labels: list[str], domains: list[str], rounds: int = 6
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], most_docs: int = 1500) -> Classifier:
     """Fit on at most `most_docs` labelled rows (doc_id, domain) of each domain, those whose ids hash lowest."""
-    own = labelled.select("doc_id", "domain").where(F.col("domain").isin(domains)).dropDuplicates()
-    rows = docs.select("doc_id", "text").join(own, "doc_id")
-    got = []
-    for d in domains:
-        got += rows.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).select("text", "domain").collect()
-    return fit([r[0] or "" for r in got], [r[1] for r in got], domains)
+    got = common.labelled_sample(docs, labelled.select("doc_id", F.col("domain").alias("label")), domains, most_docs)
+    return fit([t for t, _ in got], [d for _, d in got], domains)
 
 
 def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
