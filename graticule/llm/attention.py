@@ -16,7 +16,7 @@ class Attention:
 
     NAMES = ("embed", "query", "key", "value", "bias", "out", "last", "emit")
 
-    def __init__(self, counts: np.ndarray, d: int = 16, h: int = 16, mix: int = 64, back: int = 32, step: int = 32, seed: int = 5):
+    def __init__(self, counts: np.ndarray, d: int = 16, h: int = 16, mix: int = 48, back: int = 16, step: int = 32, seed: int = 5):
         """counts: how often each id occurs; the output distributions start from there."""
         rng, n = np.random.default_rng(seed), len(counts)
         self.back, self.step = back, step

@@ -10,8 +10,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words as runs of bytes other than ASCII white space (0x20, 0x09-0x0D).
-SPACE_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Words of ASCII letters and digits and of every character beyond ASCII.
 ALNUM_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -45,6 +43,11 @@ def crc_rest(doc_id: Column, m: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))
 
 
+def space_words(raw: bytes) -> list[bytes]:
+    """Runs of bytes other than ASCII white space (0x20, 0x09-0x0D), which is what bytes.split() cuts at."""
+    return raw.split()
+
+
 def utf8(value) -> bytes:
     """A text's UTF-8 bytes; null is empty."""
     if value is None:

@@ -36,11 +36,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary cuts text into pieces before merging (fixed value of the public tokenizer).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text in a block, and words asked for in a bucket.
-BLOCK_BYTES, BUCKET_WORDS = 8 << 20, 1_000_000
+BLOCK_BYTES, BUCKET_WORDS = 6 << 20, 1_000_000
 #: Subword ids with rows of their own; others share row 0.
 ROWS = 4096
-#: Words whose subwords a Python worker keeps.
-KEEP = 300_000
 
 
 class Subwords:
@@ -53,34 +51,36 @@ class Subwords:
         return {"lines": self.lines, "_made": None}
 
     def _ready(self):
+        """The tokenizer, the id of an end, and 1 for each id that starts a word, or ends the text."""
         if self._made is None:
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.lines.splitlines()) if a}
-            self._made = (tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), {}, ranks)
+            end = max(ranks.values()) + 1
+            starts = np.zeros(end + 1)
+            starts[[r for b, r in ranks.items() if b[:1] == b" "]] = 1
+            starts[end] = 1
+            self._made = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), end, starts
         return self._made
 
     @property
     def end(self) -> int:
-        return max(self._ready()[2].values()) + 1
+        return self._ready()[1]
 
     def starts(self) -> np.ndarray:
-        """1 for each id that starts a word, or ends the text."""
-        out = np.zeros(self.end + 1)
-        out[[r for b, r in self._ready()[2].items() if b[:1] == b" "]] = 1
-        out[self.end] = 1
-        return out
-
-    def of(self, word: bytes) -> list[int]:
-        enc, kept, _ = self._ready()
-        found = kept.get(word)
-        if found is None:
-            found = enc.encode_ordinary(" " + word.decode("utf-8", "replace"))
-            if len(word) <= 40:
-                if len(kept) >= KEEP:
-                    kept.clear()
-                kept[word] = found
-        return found
+        return self._ready()[2]
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The subword ids of all words end to end, and how many each has.  No word holds a space, so ids that start with one start a word."""
+        enc, _, starts = self._ready()
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids = enc.encode_to_numpy(" " + b" ".join(words).decode("utf-8", "replace")).astype(np.int64)
+        at = np.flatnonzero(starts[ids])
+        if len(at) != len(words):  # characters that only count as white space beyond ASCII
+            own = [enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+            return np.array([x for s in own for x in s], np.int64), np.array([len(s) for s in own], np.int64)
+        return ids, np.diff(np.append(at, len(ids)))
 
 
 class _Numbers(dict):
@@ -99,7 +99,7 @@ def blocks(docs: DataFrame, subwords: Subwords) -> DataFrame:
     def make(ids, held, texts):
         numbers, rows = _Numbers(), []
         for t in texts:
-            found = common.SPACE_WORD.findall(common.utf8(t.as_py()).lower())
+            found = common.space_words(common.utf8(t.as_py()).lower())
             rows.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
         words = list(numbers)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
@@ -110,9 +110,8 @@ def blocks(docs: DataFrame, subwords: Subwords) -> DataFrame:
         size = np.array([len(r) for r in rows], np.int32)
         train = np.repeat(~held, size)
         count = np.bincount(flat[train], minlength=len(words)).astype(np.uint32)
-        subs = [shared.value.of(words[k]) for k in order.tolist()]
-        lens = np.array([len(s) for s in subs], np.uint32)
-        pieces = np.array([x for s in subs for x in s], np.uint16)
+        pieces, lens = shared.value.of([words[k] for k in order.tolist()])
+        pieces, lens = pieces.astype(np.uint16), lens.astype(np.uint32)
         sub_counts = np.bincount(pieces, np.repeat(count, lens), shared.value.end + 1).astype(np.int64)
         used = np.flatnonzero(sub_counts)
         return {
@@ -235,7 +234,7 @@ def learn(docs: DataFrame, table: DataFrame, subwords: Subwords, share: float, m
     some = docs.select("doc_id", F.lit(1).alias("label")).where(common.crc_rest(F.col("doc_id"), 10) != 0)
     texts = [common.utf8(t) for t, _ in common.labelled_sample(docs, some, [1], most_docs)]
     if texts:
-        subs = [np.array([x for w in common.SPACE_WORD.findall(t.lower()) for x in subwords.of(w)], np.int64) for t in texts]
+        subs = [subwords.of(common.space_words(t.lower()))[0] for t in texts]
         last, target, _, first, size = scorer.stream(subs)
         scorer.model.fit(last, target, first, size)
     return scorer

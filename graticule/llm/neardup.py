@@ -65,7 +65,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             keys, fps = [], []
             for t in batch.column(1):
-                words = common.SPACE_WORD.findall(common.utf8(t.as_py()).lower())
+                words = common.space_words(common.utf8(t.as_py()).lower())
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 fps.append(_sketch(shingle_hashes(words, size)))
             lanes = np.array(fps, np.int64).reshape(-1, LANES)
@@ -96,7 +96,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> Dat
 
     def shrink(batches):  # the sets move on instead of the texts
         for batch in batches:
-            sets = [np.unique(shingle_hashes(common.SPACE_WORD.findall(common.utf8(t.as_py()).lower()), size)).tobytes() for t in batch.column(1)]
+            sets = [np.unique(shingle_hashes(common.space_words(common.utf8(t.as_py()).lower()), size)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     sets = common.stored(texts.mapInArrow(shrink, "doc_id long, shingles binary"), "shingles")

@@ -27,7 +27,7 @@ REPEAT = re.compile(rb"(?:^|[ \n])([^ \n]+)(?: \1){3,}(?=[ \n]|$)")
 
 def votes(text: bytes) -> list[int]:
     """Each labeller's vote: 1 good, 0 bad, 2 nothing."""
-    words = common.SPACE_WORD.findall(text)
+    words = common.space_words(text)
     n = len(words)
     if n < 3:
         return [0, 2, 2, 2, 2, 2, 2, 2]

@@ -32,7 +32,7 @@ TILE = 60_000
 
 def fingerprint(text: bytes, words: int = 4) -> int:
     """The 64-bit fingerprint of one text (lower-cased A-Z, XXH64 with seed 42)."""
-    found = common.SPACE_WORD.findall(text.lower())
+    found = common.space_words(text.lower())
     if not found:
         return 0
     joined = b" ".join(found)
