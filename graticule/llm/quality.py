@@ -67,7 +67,8 @@ def hashed(text: bytes) -> np.ndarray:
         code = (c[:-2] * 64 + c[1:-1]) * 64 + c[2:]
         out = np.bincount(code * 0x9E3779B1 % (1 << 32) >> 19, minlength=SIZE).astype(np.float32)
         out = np.sqrt(out)
-        out /= np.sqrt((out * out).sum())
+        # short texts say little about their form
+        out *= len(raw) / (len(raw) + 60) / np.sqrt((out * out).sum())
     return out
 
 
@@ -151,7 +152,7 @@ def fit_votes(table: DataFrame) -> LabelModel:
 
 
 def fit_scorer(texts: list[bytes], target: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """A linear scorer by logistic regression on posterior labels, both halves weighing the same."""
+    """A linear scorer by logistic regression on posterior labels, both halves weighing the same: what a text's form says beside the share of good ones."""
     if not len(texts):
         return np.zeros(SIZE, np.float32), 0.0
     x = np.stack([hashed(t) for t in texts])
@@ -179,7 +180,8 @@ def learn(docs: DataFrame, most_docs: int = 3000) -> tuple[LabelModel, np.ndarra
             texts.append(common.utf8(r[0]))
             target.append(q[r[1]])
     w, b = fit_scorer(texts, np.array(target, np.float32))
-    return model, w, b, table
+    good = float(model.share[0])
+    return model, w, b + float(np.log(good / (1 - good))), table
 
 
 def score(docs: DataFrame, most_docs: int = 3000, least: float = 0.5) -> DataFrame:
