@@ -68,6 +68,15 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return 0.299 * r + 0.587 * g + 0.114 * b
 
 
+def hsv(r: Column, g: Column, b: Column, top: int = 255) -> list[Column]:
+    """Integer hue in degrees, saturation and value of integers 0..top; the value of a colour is its luma, of a grey itself."""
+    low, high = F.least(r, g, b), F.greatest(r, g, b)
+    span = high - low
+    hue = F.when(r == low, 3 - (g - b) / span).when(g == low, 5 - (b - r) / span).otherwise(1 - (r - g) / span)
+    whole = lambda x: F.round(x, 9).cast("int")
+    return [F.when(span == 0, F.lit(0)).otherwise(whole(v)) for v in (60.0 * hue, top * 1.0 * span / high)] + [F.when(span == 0, high).otherwise(whole(luma(r, g, b)))]
+
+
 # Linear RGB to XYZ, the white point, and the ranges of L, a, b.
 XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
 WHITE = (0.950456, 1.0, 1.088754)

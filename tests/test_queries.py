@@ -3,6 +3,7 @@
 import pytest
 from oracle import connect, difference
 
+import graticule.plans.pictures  # noqa: F401  (adds its queries)
 from graticule.plans.queries import QUERIES, SQL
 
 
