@@ -1,10 +1,11 @@
 """One document of each group of near copies, by SimHash candidates and exact similarity.
 
 Texts are equal if their lower-cased words are.  Each distinct text gets several 64-bit fingerprints of its shingles.
-Fingerprints within `radius` bits (see `simhash`) name candidate pairs, whose sets of shingles decide: pairs of a
+Fingerprints within `radius` bits
+in one lane (see `simhash`) and `limit` bits in all three name candidate pairs, whose sets of shingles decide: pairs of a
 Jaccard similarity of at least `least` are linked, and components of links are groups.  Fingerprints are random: of two
-texts right at a similarity of 0.8 about 2 of 100 pairs are farther apart than the radius in all three, of those at 0.9 hardly
-any.  A group of many texts within the radius is joined by the links of a spanning forest, not by all its pairs.
+texts right at a similarity of 0.8 about 2 of 100 pairs are farther apart, of those at 0.9 hardly any.  A group is
+joined by the links of a spanning forest of its nearest pairs, not by all its pairs.
 
 Edge cases: null and empty texts are equal to one another; rows without an id belong to no group and stay; of repeated rows of an
 id one stays; an empty table gives an empty result; other columns are carried along.
@@ -75,59 +76,79 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
     return common.stored(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, shape), "signatures")
 
 
-def candidates(nodes: DataFrame, radius: int) -> DataFrame:
-    """(a, b): pairs of nodes (node, fp0, ...) that connect all whose fingerprints are within `radius` bits in a lane."""
+def candidates(nodes: DataFrame, radius: int, limit: int) -> DataFrame:
+    """(a, b): pairs of nodes (node, fp0, ...) that connect all within `radius` bits in a lane and `limit` bits in all, the nearest ones first."""
     found = None
     for lane in range(LANES):
-        own = nodes.select("node", F.col(f"fp{lane}").alias("fp"))
-        fps = common.checkpointed(own.groupBy("fp").agg(F.min("node").alias("least")))
-        pairs = links(fps, radius)
+        more = [f"fp{k}" for k in range(LANES) if k != lane]
+        own = nodes.select("node", F.col(f"fp{lane}").alias("fp"), *more)
+        fps = own.groupBy("fp").agg(F.min(F.struct("node", *more)).alias("s")).select("fp", F.col("s.node").alias("least"), *(F.col(f"s.{c}").alias(c) for c in more))
+        fps = common.checkpointed(fps)
+        pairs = links(fps, radius, tuple(more), limit)
         pairs = pairs.join(fps.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
-        same = own.join(fps, "fp").where("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y"))
+        same = own.join(fps.select("fp", "least"), "fp").where("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y"))
         pairs = pairs.unionByName(same)
         found = pairs if found is None else found.unionByName(pairs)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """The pairs whose sets of shingles are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+def _shingles(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles) of some ids: their sets as sorted 64-bit hashes."""
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
-    def shrink(batches):  # the sets move on instead of the texts
+    def run(batches):
         for batch in batches:
             sets = [np.unique(shingle_hashes(common.space_words(common.utf8(t.as_py()).lower()), size)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
-    sets = common.stored(texts.mapInArrow(shrink, "doc_id long, shingles binary"), "shingles")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b")
+    return common.stored(texts.mapInArrow(run, "doc_id long, shingles binary"), "shingles")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sets of shingles are similar enough."""
+    one, other = (sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(s)) for n, s in (("a", "s"), ("b", "t")))
 
-    def decide(batches):
+    def run(batches):
         for batch in batches:
             keep = []
             for s, t in zip(batch.column(2), batch.column(3)):
                 x, y = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(t.as_py(), np.uint64)
-                common_ = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
-                keep.append(common_ >= least * (len(x) + len(y) - common_) and common_ > 0)
+                both = len(x) + len(y) - len(np.union1d(x, y)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                keep.append(both >= least * (len(x) + len(y) - both) and both > 0)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "s", "t").mapInArrow(decide, "a long, b long")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def _components(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """Components of the pairs that are similar enough.
+
+    Some of the pairs are looked at first, and then those of the rest whose ends are not yet joined.
+    """
+    sets = _shingles(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, size)
+    early = F.pmod(F.xxhash64("a", "b"), F.lit(4)) == 0
+    links = common.checkpointed(_similar(pairs.where(early), sets, least))
+    comps = common.checkpointed(common.connected_components(links))
+    of = lambda end: comps.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    known = pairs.where(~early).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = known.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return common.connected_components(links.unionByName(_similar(rest, sets, least)))
 
 
-def groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 11) -> DataFrame:
+def groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 11, limit: int = 42) -> DataFrame:
     """(doc_id, group) for every row with an id; group is the smallest doc_id of the near copies."""
     own = _signatures(docs, size)
     nodes = common.stored(own.groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(f"fp{k}").alias(f"fp{k}") for k in range(LANES))), "nodes")
-    pairs = common.stored(candidates(nodes, radius), "pairs")
+    pairs = common.stored(candidates(nodes, radius, limit), "pairs")
     # links of an id that has several texts count for each of them
-    comps = common.connected_components(_verified(pairs, docs, size, least))
+    comps = _components(pairs, docs, size, least)
     named = nodes.select("key", "node").join(comps, "node", "left").select("key", F.coalesce("component", "node").alias("group"))
     return own.select("doc_id", "key").join(named, "key").select("doc_id", "group")
 
 
-def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 11) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 11, limit: int = 42) -> DataFrame:
     """The rows of `docs` with all their columns: one of each group, the one with the smallest id."""
-    found = groups(docs, size, least, radius)
+    found = groups(docs, size, least, radius, limit)
     kept = common.checkpointed(found.where("doc_id = group").groupBy("doc_id").agg(F.count("*").alias("rows")))
     keep = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
     if kept.where("rows > 1").limit(1).count():

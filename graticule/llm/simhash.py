@@ -98,7 +98,7 @@ def allocate(n: int, both: np.ndarray, radius: int) -> list[tuple[list[int], int
     """The cheapest (bits, threshold) groups: a dynamic programme for each number of groups.
 
     The cost of a group at threshold t is its probes, plus the pairs expected within t
-    differing bits, from every bit's share of ones (a Poisson binomial).
+    differing bits, from every bit's share of ones (a Poisson binomial); a row that moves costs as much as 500 comparisons.
     """
     p = np.diag(both) / max(n, 1)
     differ = 2 * p * (1 - p)
@@ -113,7 +113,7 @@ def allocate(n: int, both: np.ndarray, radius: int) -> list[tuple[list[int], int
             row = [0.0]
             for t in range(min(radius, len(bits)) + 1):
                 probes = sum(comb(len(bits), e) for e in range(t + 1))
-                row.append(40.0 * n * (1 + probes) + 0.5 * n * n * dist[: t + 1].sum() if probes < 5000 else np.inf)
+                row.append(1000.0 * n * (1 + probes) + 1.0 * n * n * dist[: t + 1].sum() if probes < 5000 else np.inf)
             costs.append(row)
         # spent[e]: cheapest way to give the groups so far thresholds with sum(t + 1) = e
         spent = {0: (0.0, [])}
@@ -142,71 +142,132 @@ def _keys(x: np.ndarray, plan) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _linked(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints: grow from a seed over what is not yet reached."""
-    out, left = [], x
-    while len(left) > 1:
-        front, left = left[:1], left[1:]
+def _across(x: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, limit: int, same: bool = False):
+    """(left rows, right rows, bits that differ in all lanes) of the links between rows of x, some rows at a time; of one set with itself each pair once."""
+    found = []
+    step = max(1, 2_000_000 // max(1, len(right)))
+    ahead = np.ascontiguousarray(x[right, 0])
+    for k in range(0, len(left), step):
+        rows = left[k : k + step]
+        r, c = np.nonzero(np.bitwise_count(x[rows, 0][:, None] ^ (ahead[k:] if same else ahead)[None]) <= radius)
+        if same:
+            r, c = r[c > r], c[c > r] + k
+        a, b = rows[r], right[c]
+        total = np.bitwise_count(x[a] ^ x[b]).sum(1, dtype=np.int64)
+        on = total <= limit
+        found.append((a[on], b[on], total[on]))
+    return [np.concatenate(v) for v in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+
+
+def _grown(x: np.ndarray, at: np.ndarray, radius: int, limit: int) -> list:
+    """Links that connect a large group.
+
+    Where the row next to the majority of bits links with a good part of the others, it stands for them: it grows over what it
+    reaches, step by step, and only what is not reached is compared among itself.
+    """
+    out, left = [], at
+    while len(left) > 64:
+        bits = np.unpackbits(np.ascontiguousarray(x[left, 0]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        middle = np.packbits(2 * bits.sum(0) > len(left), bitorder="little").view(np.uint64)[0]
+        hub = left[np.lexsort((x[left, 0], np.bitwise_count(x[left, 0] ^ middle)))[:1]]
+        rest = left[left != hub[0]]
+        star = _across(x, hub, rest, radius, limit)
+        if len(star[1]) < 0.1 * len(left):
+            break
+        out.append(star)
+        front, left = star[1], np.setdiff1d(rest, star[1], assume_unique=True)
         while len(front) and len(left):
-            seed, front = front[0], front[1:]
-            near = np.bitwise_count(left ^ seed) <= radius
-            if near.any():
-                out += [(int(seed), int(y)) for y in left[near]]
-                front, left = np.concatenate((front, left[near])), left[~near]
+            a, b, w = _across(x, front, left, radius, limit)
+            _, first = np.unique(b, return_index=True)
+            out.append([v[first] for v in (a, b, w)])
+            front, left = b[first], np.setdiff1d(left, b[first], assume_unique=True)
+    out.append(_across(x, left, left, radius, limit, same=True))
     return out
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect all those within `radius` bits."""
+def _forest(x: np.ndarray, groups: list[tuple[int, np.ndarray]], radius: int, limit: int) -> np.ndarray:
+    """Pairs of rows of x: a minimum spanning forest, by bits that differ, of the links within groups.
+
+    groups: (size, positions), positions being a row for each group of that size.
+    """
+    found = []
+    for size, rows in groups:
+        if size > 16:
+            for at in rows:
+                found += _grown(x, at, radius, limit)
+            continue
+        for some in np.array_split(rows, len(rows) * size * size // 4_000_000 + 1):
+            block = x[some, 0]
+            for i in range(size - 1):
+                r, c = np.nonzero(np.bitwise_count(block[:, i + 1 :] ^ block[:, i : i + 1]) <= radius)
+                if len(r):
+                    a, b = some[r, i], some[r, i + 1 + c]
+                    total = np.bitwise_count(x[a] ^ x[b]).sum(1, dtype=np.int64)
+                    on = total <= limit
+                    found.append((a[on], b[on], total[on]))
+    found = [f for f in found if len(f[0])]
+    if not found:
+        return np.zeros((0, 2), np.int64)
+    a, b, w = (np.concatenate(v).astype(np.int64) for v in zip(*found))
+    _, first = np.unique(np.minimum(a, b) * len(x) + np.maximum(a, b), return_index=True)
+    a, b, w = a[first], b[first], w[first]
+    forest, out = common.Forest(len(x)), []
+    for k in np.argsort(w, kind="stable").tolist():
+        if forest.join(int(a[k]), int(b[k])):
+            out.append((a[k], b[k]))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def links(fps: DataFrame, radius: int = 4, more: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that connect all those within `radius` bits.
+
+    With `more` columns of further fingerprints, only those count whose bits that differ are at most `limit` in all.
+    """
+    limit = radius if limit is None else limit
     n, both = _moments(fps)
     plan = allocate(n, both, radius)
     per_row = sum(comb(len(bits), e) for bits, t in plan for e in range(t + 1))
     buckets = max(16, -(-n * per_row // 200_000))
+    lanes = ("fp", *more)
+    shape = "key long, " + ", ".join(f"{c} long" for c in lanes)
 
     def spread(batches):
         for batch in batches:
-            x = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).view(np.uint64)
             step = max(1, 400_000 // max(per_row, 1))
             for at in range(0, len(x), step):
-                keys, rows = _keys(part := x[at : at + step], plan)
-                yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "fp": part[rows].view(np.int64)})
+                part = x[at : at + step]
+                keys, rows = _keys(np.ascontiguousarray(part[:, 0]), plan)
+                yield pa.RecordBatch.from_pydict({"key": keys.view(np.int64)} | {c: part[rows, k].view(np.int64) for k, c in enumerate(lanes)})
 
-    filed = fps.select("fp").mapInArrow(spread, "key long, fp long")
+    filed = fps.select(*lanes).mapInArrow(spread, shape)
     hot = filed.groupBy("key").count().where(F.col("count") > TILE).withColumn("tiles", F.ceil(F.col("count") / F.lit(TILE // 2)))
     hot = common.checkpointed(hot.select("key", "tiles"))
-    tile = F.pmod(F.xxhash64("fp"), F.col("tiles"))
-    cut = filed.join(hot, "key").withColumn("own", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cut = cut.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-    whole = filed.join(hot, "key", "left_anti") if hot.count() else filed
-    dealt = whole.unionByName(cut).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    dealt = filed
+    if hot.limit(1).count():
+        tile = F.pmod(F.xxhash64("fp"), F.col("tiles"))
+        cut = filed.join(hot, "key").withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        cut = cut.select(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), *lanes)
+        dealt = filed.join(hot, "key", "left_anti").unionByName(cut)
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
 
     def verify(table: pa.Table) -> pa.Table:
         key = table.column("key").to_numpy()
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        order = np.lexsort((fp, key))
-        key, fp = key[order], fp[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])
-        key, fp = key[fresh], fp[fresh]
-        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        starts, sizes = cuts[:-1], np.diff(cuts)
-        pairs = []
-        for size in np.unique(sizes[(sizes > 1) & (sizes <= 64)]):  # groups of one size together
-            at = starts[sizes == size]
-            for some in np.array_split(at, max(1, len(at) * size * size // 4_000_000 + 1)):
-                block = fp[some[:, None] + np.arange(size)]
-                for i in range(size - 1):
-                    near = np.bitwise_count(block[:, i + 1 :] ^ block[:, i : i + 1]) <= radius
-                    r, c = np.nonzero(near)
-                    if len(r):
-                        pairs.append(np.stack((block[r, i], block[r, i + 1 + c]), 1))
-        for at, size in zip(starts[sizes > 64], sizes[sizes > 64]):
-            if found := _linked(fp[at : at + size], radius):
-                pairs.append(np.array(found, np.uint64))
-        e = np.unique(np.concatenate(pairs), axis=0).view(np.int64) if pairs else np.zeros((0, 2), np.int64)
-        return pa.table({"a": np.ascontiguousarray(e[:, 0]), "b": np.ascontiguousarray(e[:, 1])})
-
-    return dealt.groupBy("bucket").applyInArrow(verify, "a long, b long")
+        x = np.stack([table.column(c).to_numpy() for c in lanes], 1).view(np.uint64)
+        _, first, row = np.unique(x[:, 0], return_index=True, return_inverse=True)
+        x = x[first]  # one row for each fingerprint
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
+        key, row = key[fresh], row[fresh]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(starts, len(key)))
+        groups = [(int(s), row[starts[sizes == s][:, None] + np.arange(s)]) for s in np.unique(sizes[sizes > 1])]
+        e = _forest(x, groups, radius, limit)
+        ends = np.sort(x[e, 0].view(np.int64), 1) if len(e) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": np.ascontiguousarray(ends[:, 0]), "b": np.ascontiguousarray(ends[:, 1])})
+
+    return dealt.groupBy("bucket").applyInArrow(verify, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
