@@ -71,11 +71,13 @@ def pairs_of(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Models:
     """Two character models as one table of log-likelihood ratios (natural logarithm)."""
 
-    def __init__(self, secret: np.ndarray, plain: np.ndarray, alpha: float = 0.5, per_char: float = 0.7, least: float = 10.0):
+    def __init__(self, secret: np.ndarray, plain: np.ndarray, back_off: float = 20.0, per_char: float = 0.5, least: float = 10.0):
         rows = []
         for counts in (secret, plain):
-            c = counts.reshape(SIGNS, SIGNS) + alpha
-            rows.append(np.log(c / c.sum(1, keepdims=True)))
+            c = counts.reshape(SIGNS, SIGNS).astype(float)
+            # pairs that are rare lean on how often the second character occurs at all
+            alone = (c.sum(0) + 0.5) / (c.sum() + 0.5 * SIGNS)
+            rows.append(np.log((c + back_off * alone) / (c.sum(1, keepdims=True) + back_off)))
         self.ratio = (rows[0] - rows[1]).ravel() if secret.any() and plain.any() else np.zeros(SIGNS * SIGNS)
         self.per_char, self.least = per_char, least
 

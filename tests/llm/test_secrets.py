@@ -37,7 +37,7 @@ PLANTED = [
 
 
 def test_base_scan(spark, docs):
-    got = secrets.scan(docs(PLANTED), secrets.Models(np.zeros(1), np.zeros(1))).collect()
+    got = secrets.scan(docs(PLANTED), secrets.Models(np.zeros(secrets.SIGNS**2), np.zeros(secrets.SIGNS**2))).collect()
     assert len(got) == len(PLANTED)
     for r in got:
         n, digest = brute(PLANTED[r["doc_id"]])
