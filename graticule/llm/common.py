@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
 
@@ -120,6 +123,14 @@ def labelled_sample(docs: DataFrame, ids: DataFrame, classes: list, most: int) -
     return [(r[0] or "", r[1]) for r in rows.orderBy("label", "doc_id").select("text", "label").collect()]
 
 
+def give_back() -> None:
+    """Return memory that a fit has freed to the system, where the C library can; the driver keeps running beside its JVM."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 class Forest:
     """Union-find over the integers below n, kept in one numpy array."""
 

@@ -237,6 +237,8 @@ def learn(docs: DataFrame, table: DataFrame, subwords: Subwords, share: float, m
         subs = [subwords.of(common.space_words(t.lower()))[0] for t in texts]
         last, target, _, first, size = scorer.stream(subs)
         scorer.model.fit(last, target, first, size)
+        del texts, subs, last, target
+        common.give_back()
     return scorer
 
 

@@ -2,7 +2,7 @@
 
 Texts are equal if their lower-cased words are.  Each distinct text gets several 64-bit fingerprints of its shingles.
 Fingerprints within `radius` bits
-in one lane (see `simhash`) and `limit` bits in all three name candidate pairs, whose sets of shingles decide: pairs of a
+in one lane (see `simhash`) and `limit` bits in that and the next one name candidate pairs, whose sets of shingles decide: pairs of a
 Jaccard similarity of at least `least` are linked, and components of links are groups.  Fingerprints are random: of two
 texts right at a similarity of 0.8 about 2 of 100 pairs are farther apart, of those at 0.9 hardly any.  A group is
 joined by the links of a spanning forest of its nearest pairs, not by all its pairs.
@@ -77,14 +77,14 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, radius: int, limit: int) -> DataFrame:
-    """(a, b): pairs of nodes (node, fp0, ...) that connect all within `radius` bits in a lane and `limit` bits in all, the nearest ones first."""
+    """(a, b): pairs of nodes (node, fp0, ...) that connect all within `radius` bits in a lane and `limit` bits in that and the next one, the nearest ones first."""
     found = None
     for lane in range(LANES):
-        more = [f"fp{k}" for k in range(LANES) if k != lane]
-        own = nodes.select("node", F.col(f"fp{lane}").alias("fp"), *more)
-        fps = own.groupBy("fp").agg(F.min(F.struct("node", *more)).alias("s")).select("fp", F.col("s.node").alias("least"), *(F.col(f"s.{c}").alias(c) for c in more))
+        more = f"fp{(lane + 1) % LANES}"
+        own = nodes.select("node", F.col(f"fp{lane}").alias("fp"), F.col(more).alias("more"))
+        fps = own.groupBy("fp").agg(F.min(F.struct("node", "more")).alias("s")).select("fp", F.col("s.node").alias("least"), "s.more")
         fps = common.checkpointed(fps)
-        pairs = links(fps, radius, tuple(more), limit)
+        pairs = links(fps, radius, ("more",), limit)
         pairs = pairs.join(fps.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
         same = own.join(fps.select("fp", "least"), "fp").where("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y"))
         pairs = pairs.unionByName(same)
@@ -135,7 +135,7 @@ def _components(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> D
     return common.connected_components(links.unionByName(_similar(rest, sets, least)))
 
 
-def groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 11, limit: int = 42) -> DataFrame:
+def groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 11, limit: int = 30) -> DataFrame:
     """(doc_id, group) for every row with an id; group is the smallest doc_id of the near copies."""
     own = _signatures(docs, size)
     nodes = common.stored(own.groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(f"fp{k}").alias(f"fp{k}") for k in range(LANES))), "nodes")
@@ -146,7 +146,7 @@ def groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 11,
     return own.select("doc_id", "key").join(named, "key").select("doc_id", "group")
 
 
-def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 11, limit: int = 42) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 11, limit: int = 30) -> DataFrame:
     """The rows of `docs` with all their columns: one of each group, the one with the smallest id."""
     found = groups(docs, size, least, radius, limit)
     kept = common.checkpointed(found.where("doc_id = group").groupBy("doc_id").agg(F.count("*").alias("rows")))

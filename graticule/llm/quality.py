@@ -180,6 +180,8 @@ def learn(docs: DataFrame, most_docs: int = 3000) -> tuple[LabelModel, np.ndarra
             texts.append(common.utf8(r[0]))
             target.append(q[r[1]])
     w, b = fit_scorer(texts, np.array(target, np.float32))
+    del texts
+    common.give_back()
     good = float(model.share[0])
     return model, w, b + float(np.log(good / (1 - good))), table
 

@@ -292,11 +292,16 @@ def _gradient(u, y, mask, step, start):
     return by_word, by_step, by_start
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_docs: int = 2000) -> Field:
+def learn(docs: DataFrame, labels: DataFrame, most_docs: int = 1500) -> Field:
     """Fit on labelled documents outside the held-out fifth (crc32 of the id's text modulo 5 is 0)."""
     ids = labels.select("doc_id", F.col("toxic").alias("label")).where("label in (0, 1)").where(common.crc_rest(F.col("doc_id"), 5) != 0)
     seen = dict.fromkeys(common.labelled_sample(docs, ids, [0, 1], most_docs))  # copies of a text count once
-    return fit([t for t, _ in seen], [int(y) for _, y in seen])
+    texts, found = [t for t, _ in seen], [int(y) for _, y in seen]
+    del seen
+    field = fit(texts, found)
+    del texts
+    common.give_back()
+    return field
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
