@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as T
 from ..functions import scalars as S
-from ..operators import flim, graphs, learners, metrics, pictures, raster, samples
+from ..operators import graphs, layers, learners, metrics, pictures, raster, samples
 from .queries import ABS, CENT, LONG, PAIRS, PRED, PX, RGB, SM, TILE, _predicted, _px, _rgb, _tiled, query, r4
 
 #: The images of the SQL side: y counts the samples of a class.
@@ -298,5 +298,5 @@ def _(spark, sf):
 
 @query("marker_graph_nodes")
 def _(spark, sf):
-    nodes, edges = flim.superpixel_graph(_tiled(spark, sf).select(F.col("image").alias("image_id"), "x", "y", "label", F.array("val").alias("feat")))
+    nodes, edges = layers.superpixel_graph(_tiled(spark, sf).select(F.col("image").alias("image_id"), "x", "y", "label", F.array("val").alias("feat")))
     return graphs.ring_neighbours(nodes, edges, 5)

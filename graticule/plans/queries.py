@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import tables as T
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators import flim, graphs, metrics, raster, samples
+from ..operators import graphs, layers, metrics, raster, samples
 from ..streaming import running
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -640,7 +640,7 @@ def _(spark, sf):
 @query("marker_components")
 def _(spark, sf):
     nodes, edges = _as_graph(spark, sf)
-    return flim.grouped_markers(edges, nodes.where("node % 4 = 0").select("graph_id", "node"))
+    return layers.grouped_markers(edges, nodes.where("node % 4 = 0").select("graph_id", "node"))
 
 
 # --- feature learning
@@ -660,7 +660,7 @@ ONE = (
 
 @query("one_layer", f"WITH {ONE} SELECT sm.truelabel, po.kernel, round(avg(po.p), 4) + 0.0 AS mean_activation FROM po JOIN sm USING (id) GROUP BY ALL")
 def _(spark, sf):
-    return flim.one_layer(T.samples(spark, sf)).withColumn("mean_activation", r4("mean_activation"))
+    return layers.one_layer(T.samples(spark, sf)).withColumn("mean_activation", r4("mean_activation"))
 
 
 @query("train_graph_layer")
@@ -670,14 +670,14 @@ def _(spark, sf):
     nodes, edges = _as_graph(spark, sf)
     seeds = nodes.where("node % 6 = 0").select("graph_id", "node")
     arch = Architecture(0.01, [Layer(channels=16, kernels_per_marker=2, pool="max_pool")])
-    _, out = flim.train(nodes, edges, seeds, arch)
+    _, out = layers.train(nodes, edges, seeds, arch)
     return out.select("graph_id", "node", F.transform("feat", lambda v: F.round(v, 4)).alias("feat"))
 
 
 @query("superpixel_graph", f"WITH {TILE} SELECT label AS node, count(*) AS num_pixels, round(avg(val), 4) + 0.0 AS feat FROM lb GROUP BY label")
 def _(spark, sf):
     px = _tiled(spark, sf).select(F.col("image").alias("image_id"), "x", "y", "label", F.array("val").alias("feat"))
-    nodes, _edges = flim.superpixel_graph(px)
+    nodes, _edges = layers.superpixel_graph(px)
     return nodes.select("node", "num_pixels", r4(F.col("feat")[0]).alias("feat"))
 
 
@@ -685,7 +685,7 @@ def _(spark, sf):
 def _(spark, sf):
     sm = T.samples(spark, sf)
     px = sm.select(F.lit("e").alias("image_id"), F.col("id").alias("p"), F.transform("feat", lambda v: F.greatest(v, F.lit(0.0))).alias("feat"))
-    return flim.decoded(px).withColumn("saliency", r4("saliency"))
+    return layers.decoded(px).withColumn("saliency", r4("saliency"))
 
 
 # --- colour, strings, numbers, JSON, sets, streams

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions import scalars as S
 from graticule.functions import vectors as V
-from graticule.operators import flim, graphs, metrics, raster, samples
+from graticule.operators import graphs, layers, metrics, raster, samples
 
 
 def lines(spark, a):
@@ -83,21 +83,21 @@ def test_ring_neighbours(spark):
 def test_markers_on_a_path(spark):
     edges = spark.createDataFrame([("g", 0, 1), ("g", 1, 2), ("g", 2, 3)], "graph_id string, src long, dst long")
     seeds = spark.createDataFrame([("g", 0, 1), ("g", 1, 0), ("g", 3, 1)], "graph_id string, node long, label int")
-    assert {r["node"]: r["marker"] for r in flim.grouped_markers(edges, seeds).collect()} == {0: 0, 1: 0, 3: 3}
+    assert {r["node"]: r["marker"] for r in layers.grouped_markers(edges, seeds).collect()} == {0: 0, 1: 0, 3: 3}
 
 
 def test_kernel_selection():
     bank = np.eye(3)
-    assert flim.selected(bank, "2,-3").tolist() == [[0, 1, 0], [0, 0, -1]]
-    assert len(flim.selected(bank, "1-3,-1")) == 4
+    assert layers.selected(bank, "2,-3").tolist() == [[0, 1, 0], [0, 0, -1]]
+    assert len(layers.selected(bank, "1-3,-1")) == 4
     with pytest.raises(ValueError):
-        flim.selected(bank, "0")
+        layers.selected(bank, "0")
 
 
 def test_bias_folding():
     rng = np.random.default_rng(0)
     bank, mean, stdev, x = rng.normal(size=(4, 6)), rng.normal(size=2), rng.random(2) + 0.1, rng.normal(size=(5, 6))
-    w, b = flim.folded(bank, mean, stdev)
+    w, b = layers.folded(bank, mean, stdev)
     z = (x - np.tile(mean, 3)) / np.tile(stdev, 3)
     assert np.allclose(x @ w.T + b, z @ bank.T)
 
@@ -209,9 +209,9 @@ def test_scalars(spark):
 
 def test_means_by_cosine():
     x = np.array([[1, 0.01], [1, 0.02], [0.01, 1], [0.02, 1], [0.0, 1]])
-    got, sizes = flim.spherical_means(x, 2)
+    got, sizes = layers.spherical_means(x, 2)
     assert sorted(sizes.tolist()) == [2, 3] and len(got) == 2
-    assert flim.consensus(np.eye(4), 8).shape == (4, 4) and flim.consensus(np.random.default_rng(0).normal(size=(9, 4)), 3).shape == (3, 4)
+    assert layers.consensus(np.eye(4), 8).shape == (4, 4) and layers.consensus(np.random.default_rng(0).normal(size=(9, 4)), 3).shape == (3, 4)
 
 
 def test_training_two_layers(spark):
@@ -222,7 +222,7 @@ def test_training_two_layers(spark):
     edges = spark.createDataFrame([(g, a, b) for g in ("a", "b") for k in range(11) for a, b in ((k, k + 1), (k + 1, k))], "graph_id string, src long, dst long")
     seeds = spark.createDataFrame([(g, k) for g in ("a", "b") for k in (0, 1, 5, 6, 7)], "graph_id string, node long")
     arch = Architecture(0.01, [Layer(channels=5, kernels_per_marker=2, pool="avg_pool"), Layer(channels=3, kernels_per_marker=1, pool="max_pool")])
-    layers, out = flim.train(nodes, edges, seeds, arch)
+    trained, out = layers.train(nodes, edges, seeds, arch)
     rows = out.collect()
-    assert len(layers) == 2 and len(rows) == 24
-    assert {len(r["feat"]) for r in rows} == {len(layers[1].bank)} and len(layers[0].bank) <= 5
+    assert len(trained) == 2 and len(rows) == 24
+    assert {len(r["feat"]) for r in rows} == {len(trained[1].bank)} and len(trained[0].bank) <= 5
