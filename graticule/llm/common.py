@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,8 +72,30 @@ def small_slices(batch, most_bytes: int = 4 << 20, column: str = "text"):
         at = stop
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """Components by alternating large and small stars; native DataFrame operations only.
+#: Edges that one task contracts.
+CONTRACT = 400_000
+
+
+def _contracted(e: DataFrame, n: int) -> DataFrame:
+    """Edges (hi, lo), of longs, with those of some partitions together replaced by stars around the least node of what they connect."""
+
+    def run(batches):
+        rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if rows:
+            hi, lo = (np.concatenate(x) for x in zip(*rows))
+            ids, place = np.unique(np.concatenate((hi, lo)), return_inverse=True)
+            forest = Forest(len(ids))
+            for x, y in zip(place[: len(hi)].tolist(), place[len(hi) :].tolist()):
+                forest.join(x, y)
+            root = np.array([forest.find(k) for k in range(len(ids))])
+            on = root != np.arange(len(ids))
+            yield pa.RecordBatch.from_pydict({"hi": ids[on], "lo": ids[root[on]]})
+
+    return e.coalesce(max(1, -(-n // CONTRACT))).mapInArrow(run, "hi long, lo long").distinct()
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, contract: bool = False) -> DataFrame:
+    """Components by alternating large and small stars; native DataFrame operations only, unless `contract` joins what partitions hold first.
 
     Returns (node, component), one row for each node of an edge between two different
     nodes; component is the smallest node reachable.  Null ends and loops are ignored.
@@ -89,6 +112,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     e = checkpointed(tidy(e.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))))
     last = state(e)
+    if contract and last[0]:
+        e = checkpointed(_contracted(e, last[0]))
+        last = state(e)
     for _ in range(rounds if last[0] else 0):
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -128,11 +128,11 @@ def _components(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> D
     sets = _shingles(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, size)
     early = F.pmod(F.xxhash64("a", "b"), F.lit(4)) == 0
     links = common.checkpointed(_similar(pairs.where(early), sets, least))
-    comps = common.checkpointed(common.connected_components(links))
+    comps = common.checkpointed(common.connected_components(links, contract=True))
     of = lambda end: comps.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     known = pairs.where(~early).join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = known.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    return common.connected_components(links.unionByName(_similar(rest, sets, least)))
+    return common.connected_components(links.unionByName(_similar(rest, sets, least)), contract=True)
 
 
 def groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 11, limit: int = 30) -> DataFrame:
