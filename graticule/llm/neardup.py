@@ -5,7 +5,8 @@ Fingerprints within `radius` bits
 in one lane (see `simhash`) and `limit` bits in that and the next one name candidate pairs, whose sets of shingles decide: pairs of a
 Jaccard similarity of at least `least` are linked, and components of links are groups.  Fingerprints are random: of two
 texts right at a similarity of 0.8 about 2 of 100 pairs are farther apart, of those at 0.9 hardly any.  A group is
-joined by the links of a spanning forest of its nearest pairs, not by all its pairs.
+joined by the links of a spanning forest of its nearest pairs; where one of those is not similar enough, all other candidates between the
+parts are compared, until none is left that could join two of them.
 
 Edge cases: null and empty texts are equal to one another; rows without an id belong to no group and stay; of repeated rows of an
 id one stays; an empty table gives an empty result; other columns are carried along.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .simhash import links
+from .simhash import crossing, links
 
 LANES = 3
 
@@ -82,11 +83,9 @@ def candidates(nodes: DataFrame, radius: int, limit: int) -> DataFrame:
     for lane in range(LANES):
         more = f"fp{(lane + 1) % LANES}"
         own = nodes.select("node", F.col(f"fp{lane}").alias("fp"), F.col(more).alias("more"))
-        fps = own.groupBy("fp").agg(F.min(F.struct("node", "more")).alias("s")).select("fp", F.col("s.node").alias("least"), "s.more")
-        fps = common.checkpointed(fps)
-        pairs = links(fps, radius, ("more",), limit)
-        pairs = pairs.join(fps.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
-        same = own.join(fps.select("fp", "least"), "fp").where("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y"))
+        fps = common.checkpointed(own.groupBy("fp", "more").agg(F.min("node").alias("node")))
+        pairs = links(fps, radius, ("more",), limit, "node").select(F.col("a").alias("x"), F.col("b").alias("y"))
+        same = own.join(fps.withColumnRenamed("node", "least"), ["fp", "more"]).where("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y"))
         pairs = pairs.unionByName(same)
         found = pairs if found is None else found.unionByName(pairs)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -120,19 +119,47 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def _components(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """Components of the pairs that are similar enough.
+def _components(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, least: float, radius: int, limit: int) -> DataFrame:
+    """Components of all candidates that are similar enough; `pairs` connect the candidates.
 
-    Some of the pairs are looked at first, and then those of the rest whose ends are not yet joined.
+    Some of the pairs are looked at first, and then those of the rest whose ends are not yet joined.  Where one of them is not similar
+    enough, other candidates may join what it held together: of the parts on either side, all candidates across parts are looked at.
     """
     sets = _shingles(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs, size)
     early = F.pmod(F.xxhash64("a", "b"), F.lit(4)) == 0
-    links = common.checkpointed(_similar(pairs.where(early), sets, least))
-    comps = common.checkpointed(common.connected_components(links, contract=True))
+    found = common.checkpointed(_similar(pairs.where(early), sets, least))
+    comps = common.checkpointed(common.connected_components(found, contract=True))
+    found = common.checkpointed(found.unionByName(_similar(_across_parts(pairs.where(~early), comps).select("a", "b"), sets, least)))
+    comps = common.checkpointed(common.connected_components(found, contract=True))
+    failed = _across_parts(pairs, comps)
+    parts = common.checkpointed(failed.select(F.explode(F.array("ca", "cb")).alias("part")).distinct())
+    if not parts.limit(1).count():
+        return comps
+    open_ = _parts(nodes, comps).join(parts, "part", "left_semi").drop("part")
+    open_, low = common.checkpointed(open_), -1
+    while True:
+        own, across = _parts(open_, comps), None
+        for lane in range(LANES):
+            fps = own.select("node", F.col(f"fp{lane}").alias("fp"), F.col(f"fp{(lane + 1) % LANES}").alias("more"), "part")
+            got = crossing(fps, radius, limit, low)
+            across = got if across is None else across.unionByName(got)
+        across = common.checkpointed(across.distinct())
+        found = common.checkpointed(found.unionByName(_similar(across.where("a is not null").select("a", "b"), sets, least)))
+        comps = common.checkpointed(common.connected_components(found, contract=True))
+        low = across.agg(F.min("until")).first()[0]
+        if low is None:
+            return comps
+
+
+def _parts(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    return nodes.join(comps, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+
+def _across_parts(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b, ca, cb): the pairs whose ends are in different components."""
     of = lambda end: comps.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    known = pairs.where(~early).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = known.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    return common.connected_components(links.unionByName(_similar(rest, sets, least)), contract=True)
+    known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return known.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
 
 
 def groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 11, limit: int = 30) -> DataFrame:
@@ -141,7 +168,7 @@ def groups(docs: DataFrame, size: int = 5, least: float = 0.8, radius: int = 11,
     nodes = common.stored(own.groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(f"fp{k}").alias(f"fp{k}") for k in range(LANES))), "nodes")
     pairs = common.stored(candidates(nodes, radius, limit), "pairs")
     # links of an id that has several texts count for each of them
-    comps = _components(pairs, docs, size, least)
+    comps = _components(pairs, nodes, docs, size, least, radius, limit)
     named = nodes.select("key", "node").join(comps, "node", "left").select("key", F.coalesce("component", "node").alias("group"))
     return own.select("doc_id", "key").join(named, "key").select("doc_id", "group")
 

@@ -117,3 +117,24 @@ def test_near_copies_against_brute_force(spark, sf):
     want = brute_components(near, [r[0] for r in rows])
     got = {r[0]: r[1] for r in neardup.groups(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
     assert got == want
+
+
+def test_near_copies_in_the_crowd_of_a_shorter_text(spark, docs, monkeypatch):
+    """Many copies of a text stand between longer ones, which are similar to each other but to none of those."""
+    rng, texts, crowd, few = np.random.default_rng(8), [], 160, 40
+    words, more = [f"w{x}" for x in range(312)], [f"s{x}" for x in range(48)]
+    for k in range(crowd + few):
+        own = [*words]
+        if k < crowd:
+            own[int(rng.integers(0, 10))] = f"k{k}"
+        else:
+            own += more + [f"e{x}" for x in rng.integers(0, 10**6, 38)]
+        texts.append(" ".join(own))
+    sets = [set(neardup.shingle_hashes(t.encode().split(), 5).tolist()) for t in texts]
+    want = brute_components(lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]), list(range(len(texts))))
+    assert set(want.values()) == {0, crowd}
+    # every pair is a candidate and meets in the same group only, so that nothing but the comparison decides
+    monkeypatch.setattr(simhash, "allocate", lambda n, both, radius: [([0], 1)])
+    monkeypatch.setattr(simhash, "MOST", 2000, raising=False)  # several rounds
+    got = {r[0]: r[1] for r in neardup.groups(docs(texts), radius=64, limit=128).collect()}
+    assert got == want
