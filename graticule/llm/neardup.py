@@ -1,6 +1,6 @@
 """One document of each group of near copies, by SimHash candidates and exact similarity.
 
-Texts are equal if their lower-cased words are.  Each distinct text gets several 64-bit fingerprints of its shingles.
+Texts are equal if their lower-cased words are.  Each distinct text gets several 64-bit fingerprints of its set of shingles.
 Fingerprints within `radius` bits
 in one lane (see `simhash`) and `limit` bits in that and the next one name candidate pairs, whose sets of shingles decide: pairs of a
 Jaccard similarity of at least `least` are linked, and components of links are groups.  Fingerprints are random: of two
@@ -69,7 +69,7 @@ def _signatures(docs: DataFrame, size: int) -> DataFrame:
             for t in batch.column(1):
                 words = common.space_words(common.utf8(t.as_py()).lower())
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                fps.append(_sketch(shingle_hashes(words, size)))
+                fps.append(_sketch(np.unique(shingle_hashes(words, size))))
             lanes = np.array(fps, np.int64).reshape(-1, LANES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(lanes[:, k])) for k in range(LANES))], names=["doc_id", "key", *(f"fp{k}" for k in range(LANES))])
 

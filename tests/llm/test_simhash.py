@@ -138,3 +138,12 @@ def test_near_copies_in_the_crowd_of_a_shorter_text(spark, docs, monkeypatch):
     monkeypatch.setattr(simhash, "MOST", 2000, raising=False)  # several rounds
     got = {r[0]: r[1] for r in neardup.groups(docs(texts), radius=64, limit=128).collect()}
     assert got == want
+
+
+def test_near_copies_that_repeat_lines_unequally(spark, docs):
+    rng = np.random.default_rng(4)
+    page, line = (" ".join(f"w{x}" for x in rng.integers(0, 5000, n)) for n in (300, 12))
+    texts = [f"{page} {line}", page + f" {line}" * 40, f"{line} " * 90 + page]
+    sets = [set(neardup.shingle_hashes(t.encode().split(), 5).tolist()) for t in texts]
+    assert min(len(sets[0] & s) / len(sets[0] | s) for s in sets) >= 0.9
+    assert [r[0] for r in neardup.one_of_each(docs(texts)).collect()] == [0]
