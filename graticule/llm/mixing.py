@@ -2,9 +2,9 @@
 
 A softmax classifier on hashed byte pairs, fitted on a labelled table, gives every document a posterior over
 domains.  Document rates r >= 0 minimise the squared distance between the expected share of tokens of each domain,
-sum of r * tokens * posterior over all tokens, and the target shares, by projected gradient from r = 1.
-Each step needs one small sum over the documents; the rates are a function of a document's posterior and of the
-gradients so far, so they are replayed and never stored.
+sum of r * tokens * posterior over all tokens, and the target shares; of all such rates those next to 1 are taken, by Newton's
+method on the dual.  Each step needs one small sum over the documents; the rates are a function of a document's posterior and of
+one vector, so they are replayed and never stored.  Targets that no rates reach are warned of.
 
 Edge cases: null and empty texts have no tokens and a uniform posterior; their rate follows from it but moves nothing; null domains are not
 used for fitting; targets are scaled to add up to one, domains without a target count as zero; no labelled rows or
@@ -13,6 +13,8 @@ no tokens leave all rates at one; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -109,39 +111,68 @@ def _replay(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def _expected(table: DataFrame, k: int, steps: list[np.ndarray]) -> np.ndarray:
-    """Sum of rate * tokens * posterior over all documents, and of tokens * posterior * posterior'."""
+def _expected(table: DataFrame, k: int, tried: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of some `tried` steps sums over all documents of tokens times: rate * posterior, rate squared, posterior * posterior' where the rate is not zero; then all tokens."""
+    each = k + 1 + k * k
 
     def run(batches):
-        total = np.zeros((k + 1, k))
+        total = np.zeros(len(tried) * each + 1)
         for batch in batches:
             p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
             t = batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            total[0] += (_replay(p, steps) * t) @ p
-            total[1:] += (p * t[:, None]).T @ p
-        yield pa.RecordBatch.from_pydict({"i": np.arange(total.size), "x": total.ravel()})
+            for at, step in enumerate(tried):
+                r = _replay(p, [step])
+                own = p[r > 0]
+                sums = np.concatenate(((r * t) @ p, [(r * r) @ t], ((own * t[r > 0, None]).T @ own).ravel()))
+                total[at * each : (at + 1) * each] += sums
+            total[-1] += t.sum()
+        yield pa.RecordBatch.from_pydict({"i": np.arange(total.size), "x": total})
 
     got = table.select("n_tokens", "posterior").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
-    out = np.zeros((k + 1) * k)
+    out = np.zeros(len(tried) * each + 1)
     for r in got.collect():
         out[r[0]] = r[1]
-    return out.reshape(k + 1, k)
+    return [*out[:-1].reshape(len(tried), each), out[-1]]
 
 
-def solve(table: DataFrame, target: np.ndarray, rounds: int = 40, close: float = 1e-3) -> list[np.ndarray]:
-    """The steps (gradient times step length) of projected gradient, until all shares are within `close` of their targets."""
-    k, steps = len(target), []
-    for _ in range(rounds):
-        got = _expected(table, k, steps)
-        second = got[1:]
-        n = second.sum()
+def solve(table: DataFrame, target: np.ndarray, close: float = 1e-3, soft: float = 1e-8, rounds: int = 200) -> list[np.ndarray]:
+    """The step x that makes the rates max(0, 1 - posterior . x) meet the target shares, or come as near as rates can, which is warned of.
+
+    x minimises half the mean squared rate + target . x + soft / 2 * |x|^2, which is strictly convex, by Newton's method with halved
+    steps; its gradient is target - shares + soft * x.  Each pass over the documents looks at a step and its halves.
+    """
+    k = len(target)
+    x = np.zeros(k)
+
+    def look(tried):
+        *sums, n = _expected(table, k, tried)
         if not n:
-            return []
-        off = got[0] / n - target
-        if np.abs(off).max() <= close:
-            break
-        steps.append(off / np.linalg.eigvalsh(second / n)[-1])
-    return steps
+            return None
+        out = []
+        for z, s in zip(tried, sums):
+            value = s[k] / n / 2 + target @ z + soft / 2 * z @ z
+            out.append((value, z, s[:k] / n, target - s[:k] / n + soft * z, s[k + 1 :].reshape(k, k) / n + soft * np.eye(k)))
+        return out
+
+    now = look([x])
+    if now is None:
+        return []
+    value, x, shares, slope, second = now[0]
+    for _ in range(rounds):
+        if np.abs(shares - target).max() <= close:
+            return [x]
+        if np.abs(slope).max() <= close / 100:
+            warnings.warn(f"target shares {target.round(4).tolist()} are out of reach; the nearest are {shares.round(4).tolist()}", stacklevel=2)
+            return [x]
+        way = -np.linalg.solve(second, slope)
+        for halves in (range(8), range(8, 40)):
+            better = [g for g, h in zip(look([x + way * 0.5**h for h in halves]), halves) if g[0] <= value + 1e-4 * 0.5**h * (slope @ way)]
+            if better:
+                break
+        else:
+            raise RuntimeError(f"rates did not settle: shares {shares.tolist()}, targets {target.tolist()}")
+        value, x, shares, slope, second = min(better, key=lambda g: g[0])
+    raise RuntimeError(f"rates did not settle in {rounds} rounds: shares {shares.tolist()}, targets {target.tolist()}")
 
 
 def rates(docs: DataFrame, model: Classifier, targets: dict[str, float]) -> DataFrame:

@@ -67,3 +67,32 @@ def test_query(spark, sf):
     t = sum(r["n_tokens"] for r in rows.values())
     for d, share in mixing.TARGETS.items():
         assert abs(sum(r["n_tokens"] * r["rate"] * r[f"p_{d}"] for r in rows.values()) / t - share) <= 0.002
+
+
+def shares_of(p, t, steps):
+    return (p * (t * mixing._replay(p, steps))[:, None]).sum(0) / t.sum()
+
+
+def posteriors(spark, p, t):
+    return spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "n_tokens long, posterior array<double>")
+
+
+def test_rare_domain_reaches_its_target(spark):
+    rng = np.random.default_rng(3)
+    own = rng.choice(4, 2000, p=[0.01, 0.02, 0.27, 0.7])
+    p = 0.97 * np.eye(4)[own] + 0.03 * rng.dirichlet(np.ones(4), 2000)
+    t, target = rng.integers(50, 150, 2000).astype(float), np.array([0.1, 0.2, 0.5, 0.2])
+    steps = mixing.solve(posteriors(spark, p, t), target)
+    assert np.abs(shares_of(p, t, steps) - target).max() <= 1e-3
+
+
+def test_targets_out_of_reach_are_told(spark):
+    p, t = np.array([[0.6, 0.4], [0.7, 0.3]]), np.array([10.0, 20.0])
+    with np.testing.assert_warns(UserWarning):
+        steps = mixing.solve(posteriors(spark, p, t), np.array([0.1, 0.9]))
+    best = min(np.abs(shares_of_rates(p, t, r) - [0.1, 0.9]) @ np.abs(shares_of_rates(p, t, r) - [0.1, 0.9]) for r in ((a, b) for a in np.linspace(0, 6, 241) for b in np.linspace(0, 3, 121)))
+    assert ((shares_of(p, t, steps) - [0.1, 0.9]) ** 2).sum() <= best + 1e-4
+
+
+def shares_of_rates(p, t, r):
+    return (p * (t * np.array(r))[:, None]).sum(0) / t.sum()
