@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SIZE = 2048
+SIZE = 4096
 
 
 def features(text: bytes) -> tuple[np.ndarray, int]:
@@ -76,7 +76,7 @@ def fit(texts: list[str], labels: list[str], domains: list[str], rounds: int = 6
     return Classifier(domains, w, b)
 
 
-def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], most_docs: int = 1000) -> Classifier:
+def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], most_docs: int = 1500) -> Classifier:
     """Fit on at most `most_docs` labelled rows (doc_id, domain) of each domain, those whose ids hash lowest."""
     got = common.labelled_sample(docs, labelled.select("doc_id", F.col("domain").alias("label")), domains, most_docs)
     model = fit([t for t, _ in got], [d for _, d in got], domains)

@@ -96,3 +96,10 @@ def test_targets_out_of_reach_are_told(spark):
 
 def shares_of_rates(p, t, r):
     return (p * (t * np.array(r))[:, None]).sum(0) / t.sum()
+
+
+def test_features_keep_byte_pairs_apart():
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    pairs = [bytes((a, b)) for a in letters for b in letters]
+    places = {int(np.flatnonzero(mixing.features(x)[0])[0]) for x in pairs}
+    assert len(places) == len(pairs)
