@@ -160,8 +160,6 @@ class Attention:
         grad = {}
         by_m = post.sum(0) * weight
         df = (times[:, None] * e) * (by_m / len(y)) - _summed(y, post, len(words)) * weight
-        d_own = _summed(mine, dz, len(words))
-        grad["last"], grad["prior"] = x.T @ d_own, d_own.sum(0)
         grad["out"] = c.T @ dz
         dc = np.zeros((*on.shape, self.out.shape[0]), dz.dtype)
         dc[on] = dz @ self.out.T
@@ -170,16 +168,19 @@ class Attention:
         ds -= (ds * w).sum(2, keepdims=True)
         ds *= w
         grad["bias"] = np.bincount(np.maximum(gap, 0).ravel(), (ds.sum(0) * (gap >= 0)).ravel(), len(self.bias)).astype(dz.dtype)
-        dq = _summed(own.ravel(), (ds @ ki).reshape(-1, q.shape[1]), len(words)) * scale
         h = k.shape[1]
+        mine = _summed(mine, np.concatenate(((ds @ ki)[on], dz), 1), len(words))
+        dq, d_own = mine[:, :h] * scale, mine[:, h:]
+        grad["last"], grad["prior"] = x.T @ d_own, d_own.sum(0)
         both = _summed(ids.ravel(), np.concatenate((ds.transpose(0, 2, 1) @ qo, dv), 2).reshape(-1, 2 * h), len(words))
         dk, dv = both[:, :h], both[:, h:]
         grad["query"], grad["key"], grad["value"] = x.T @ dq, x.T @ dk, x.T @ dv
         dx = (dq @ self.query.T + dk @ self.key.T + dv @ self.value.T + d_own @ self.last.T) / root
         rows, lens = lexicon.rows_of(words)
-        grad["spell"] = _summed(rows, np.repeat(np.concatenate((dx, df), 1), lens, 0), len(self.spell))
+        word = np.repeat(np.arange(len(words)), lens)
+        grad["spell"] = _summed(rows, np.concatenate((dx, df), 1), len(self.spell), word)
         often = times + np.bincount(ids.ravel(), minlength=len(words))
-        return loss, grad, np.bincount(rows, np.repeat(often, lens), len(self.spell)).astype(np.float32)
+        return loss, grad, np.bincount(rows, often[word], len(self.spell)).astype(np.float32)
 
 
 class Adam:
@@ -200,12 +201,12 @@ class Adam:
             w -= w.dtype.type(rate / one) * m / (np.sqrt(v / two) + w.dtype.type(1e-6))
 
 
-def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """For each of n rows the sum of its values."""
+def _summed(rows: np.ndarray, values: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+    """For each of n rows the sum of its values; at: which value each row takes, where it is not its own."""
     out = np.zeros((n, values.shape[1]), values.dtype)
     if len(rows):
         order = np.argsort(rows.astype(np.uint16) if n <= 1 << 16 else rows, kind="stable")
         rows = rows[order]
         cuts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        out[rows[cuts]] = np.add.reduceat(values[order], cuts)
+        out[rows[cuts]] = np.add.reduceat(values[order if at is None else at[order]], cuts)
     return out

@@ -45,7 +45,7 @@ TASK_BLOCKS = 8
 #: Places of each of the two tables that pairs of subwords are counted in.
 SLOTS = 1 << 18
 #: Shares of the windows that the rounds of training take, and their rates.
-ROUNDS = ((1 / 16, 0.02), (1 / 16, 0.02), (1 / 8, 0.02), (1 / 4, 0.015), (1 / 2, 0.01))
+ROUNDS = ((1 / 8, 0.02), (3 / 8, 0.02), (1 / 2, 0.01))
 #: Words that a block's training texts hold at most so often tell how words are spelled.
 RARE = 3
 
@@ -361,6 +361,7 @@ def train(table: DataFrame, rows: np.ndarray, tasks: int, n_windows: int, least_
                         part = min(1.0, step / planned)
                         optimiser.step(grad, (rate + (after - rate) * part) * min(1.0, step / 10) * min(1.0, 4 * len(pick) / batch))
                     a = stop
+                common.give_back()
             weight = np.concatenate((np.repeat(often, own.spell.shape[1]), np.full(own.count() - own.spell.size, float(words))))
             yield from _parts(np.concatenate(((_flat(own) - _flat(start)) * weight, often, [words])))
 
