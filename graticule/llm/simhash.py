@@ -28,8 +28,6 @@ from . import common
 
 #: Members of one probe value that are compared in one task; larger groups are cut into tiles.
 TILE = 60_000
-#: Pairs that one task gives at once.
-MOST = 100_000
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
@@ -282,64 +280,6 @@ def links(fps: DataFrame, radius: int = 4, more: tuple[str, ...] = (), limit: in
     return dealt.groupBy("bucket").applyInArrow(verify, "a long, b long").distinct()
 
 
-def pair_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A fixed shuffle of pairs: 62 bits of a hash."""
-    h = a.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.int64).view(np.uint64)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((h ^ (h >> np.uint64(31))) >> np.uint64(2)).astype(np.int64)
-
-
-def crossing(fps: DataFrame, radius: int, limit: int, low: int = -1) -> DataFrame:
-    """(a, b, until): all pairs of rows (node, fp, more, part) within `radius` bits of fp and `limit` in both lanes whose parts differ.
-
-    Pairs up to `low` of their shuffle are left out.  A bucket that has over MOST others gives the first ones, and a row without a and b that
-    tells up to where.
-    """
-
-    most = MOST
-
-    def verify(table: pa.Table) -> pa.Table:
-        node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
-        x = np.stack([table.column(c).to_numpy() for c in ("fp", "more")], 1).view(np.uint64)
-        first, groups = _grouped(table.column("key").to_numpy(), node)
-        x, node, part = x[first], node[first], part[first]
-        got, until = [np.zeros((0, 3), np.int64)], None
-
-        def first_ones(until):
-            pairs = np.unique(np.concatenate(got), axis=0)
-            if len(pairs) > most:
-                until = int(np.partition(pairs[:, 0], most - 1)[most - 1])
-                pairs = pairs[pairs[:, 0] <= until]
-            got[:] = [pairs]
-            return until
-
-        for size, rows in groups:
-            step = max(1, 2_000_000 // size)
-            for at in rows:
-                for k in range(0, size, step):
-                    left = at[k : k + step]
-                    r, c = np.nonzero((np.bitwise_count(x[left, 0][:, None] ^ x[at[k:], 0][None]) <= radius) & (part[left][:, None] != part[at[k:]][None]))
-                    a, b = left[r[c > r]], at[k:][c[c > r]]
-                    on = np.bitwise_count(x[a] ^ x[b]).sum(1, dtype=np.int64) <= limit
-                    a, b = np.minimum(node[a], node[b])[on], np.maximum(node[a], node[b])[on]
-                    h = pair_order(a, b)
-                    on = (h > low) if until is None else (h > low) & (h <= until)
-                    if on.any():
-                        got.append(np.stack((h[on], a[on], b[on]), 1))
-                        if sum(map(len, got)) > 2 * most + 1_000_000:
-                            until = first_ones(until)
-        until = first_ones(until)
-        pairs = got[0]
-        told = [] if until is None else [until]
-        none = [None] * len(told)
-        a, b = (pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, k])), pa.array(none, pa.int64())]) for k in (1, 2))
-        return pa.table({"a": a, "b": b, "until": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(told, pa.int64())])})
-
-    dealt = _dealt(fps, radius, ("fp", "more", "node", "part"), "node")
-    return dealt.groupBy("bucket").applyInArrow(verify, "a long, b long, until long").distinct()
-
-
 def classes(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id reachable."""
     own = common.stored(fingerprints(docs, words), "simhash")
