@@ -45,17 +45,21 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         out += [(m.start(), m.end(), 1, m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), m.end(), 2, m[0]) for m in HEX.finditer(text)]
-    return sorted(out)
+    return sorted(out, key=lambda x: (x[0], x[2]))
 
 
 def candidates(text: str, base: list) -> list[tuple[int, int, str]]:
     """Runs of key-like characters that touch no base span."""
-    out, k = [], 0
-    ends = sorted((s, e) for s, e, *_ in base)
+    out, k, covered = [], 0, []
+    for s, e in sorted((s, e) for s, e, *_ in base):  # stretches that do not touch
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(e, covered[-1][1])
+        else:
+            covered.append([s, e])
     for m in RUN.finditer(text):
-        while k < len(ends) and ends[k][1] <= m.start():
+        while k < len(covered) and covered[k][1] <= m.start():
             k += 1
-        if not any(s < m.end() and e > m.start() for s, e in ends[max(0, k - 3) :]):
+        if k == len(covered) or covered[k][0] >= m.end():
             out.append((m.start(), m.end(), m[0]))
     return out
 
@@ -145,7 +149,7 @@ def spans_of(text, models: Models) -> list[tuple[int, int, int]]:
     base = base_spans(text)
     rest = candidates(text, base)
     found = models.is_secret([x[2] for x in rest])
-    return sorted([x[:3] for x in base] + [(s, e, 3) for (s, e, _), y in zip(rest, found) if y])
+    return sorted([x[:3] for x in base] + [(s, e, 3) for (s, e, _), y in zip(rest, found) if y], key=lambda x: (x[0], x[2]))
 
 
 def joined(spans) -> str:
@@ -157,7 +161,7 @@ def scan(docs: DataFrame, models: Models) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in common.small_slices(batch)):
             got = [spans_of(t.as_py(), shared.value) for t in batch.column(1)]
             columns = {"doc_id": batch.column(0)}
             for k, kind in enumerate(KINDS):
@@ -176,7 +180,7 @@ def redact(docs: DataFrame, models: Models, mark: str = "<SECRET>") -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in common.small_slices(batch)):
             texts, changed = batch.column(at).to_pylist(), False
             sizes = batch.column(chars).to_pylist() if chars is not None else None
             for k, t in enumerate(texts):
