@@ -2,8 +2,8 @@
 
 Benchmark items become windows of `n` consecutive words (an item of fewer words is one window).
 Their hashes are broadcast; every document's word windows are looked up, hits are verified word by word, and
-spans or whole documents are removed.  A benchmark too large for one broadcast is dealt into
-blocks of bounded size by its item ids, and the documents pass one block after the other.
+spans or whole documents are removed.  Items are cut into overlapping pieces; a benchmark too large for one broadcast is dealt into
+blocks of bounded size, and the documents pass one block after the other, each pass written before the next one.
 
 Edge cases: null texts have no words; items without words have no window; repeated items
 and documents are all kept; items with a null id hit, but are not listed; an empty benchmark hits nothing;
@@ -24,6 +24,10 @@ from . import common
 
 #: Words of benchmark text in one broadcast.
 BLOCK_WORDS = 2_000_000
+#: Words of an item in one piece, besides those that overlap with the next one.
+PIECE_WORDS = 100_000
+#: Windows that are looked up at a time.
+STEP = 200_000
 
 
 def words_of(text) -> list[bytes]:
@@ -59,29 +63,46 @@ class Windows:
         for size, (hashes, windows, owners) in self.by_size.items():
             if len(ids) < size:
                 continue
-            at = np.flatnonzero(unknown[size:] == unknown[:-size])
-            if not len(at):
-                continue
-            own = ids[at[:, None] + np.arange(size)]
-            h = self._hash(own)
-            k = np.searchsorted(hashes, h)
-            while len(at):  # equal hashes of different windows stand side by side
-                some = (k < len(hashes)) & (hashes[np.minimum(k, len(hashes) - 1)] == h)
-                at, own, h, k = at[some], own[some], h[some], k[some]
-                same = (windows[k] == own).all(1)
-                yield size, at[same], [owners[x] for x in k[same]]
-                at, own, h, k = at[~same], own[~same], h[~same], k[~same] + 1
-
-
-def _blocks(benchmark: DataFrame, n: int):
-    """Broadcasts of at most about BLOCK_WORDS words each."""
-    spark = benchmark.sparkSession
+            able = np.flatnonzero(unknown[size:] == unknown[:-size])
+            for at in np.split(able, range(STEP, len(able), STEP)):
+                own = ids[at[:, None] + np.arange(size)]
+                h = self._hash(own)
+                k = np.searchsorted(hashes, h)
+                while len(at):  # equal hashes of different windows stand side by side
+                    some = (k < len(hashes)) & (hashes[np.minimum(k, len(hashes) - 1)] == h)
+                    at, own, h, k = at[some], own[some], h[some], k[some]
+                    same = (windows[k] == own).all(1)
+                    yield size, at[same], [owners[x] for x in k[same]]
+                    at, own, h, k = at[~same], own[~same], h[~same], k[~same] + 1
+
+
+def _pieces(benchmark: DataFrame, n: int) -> DataFrame:
+    """(item_id, text, words): items as pieces of their words that hold each window once."""
+
+    def run(batches):
+        for batch in batches:
+            out = {"item_id": [], "text": [], "words": []}
+            for item, text in zip(batch.column(0), batch.column(1)):
+                words = words_of(text.as_py())
+                for at in range(0, max(1, len(words) - n + 1) if words else 0, PIECE_WORDS):
+                    own = words[at : at + PIECE_WORDS + n - 1]
+                    out["item_id"].append(item.as_py())
+                    out["text"].append(b" ".join(own))
+                    out["words"].append(len(own))
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array(out["item_id"], pa.string()), "text": pa.array(out["text"], pa.binary()), "words": pa.array(out["words"], pa.int64())})
+
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    volume = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-volume // (6 * BLOCK_WORDS)))
+    return common.stored(items.mapInArrow(run, "item_id string, text binary, words long"), "items")
+
+
+def _passes(benchmark: DataFrame, n: int):
+    """(broadcast windows, whether more follow) of blocks of about BLOCK_WORDS words each."""
+    spark, pieces = benchmark.sparkSession, _pieces(benchmark, n)
+    volume = pieces.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    blocks = max(1, -(-volume // BLOCK_WORDS))
     for b in range(blocks):
-        some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield spark.sparkContext.broadcast(Windows([(r[0], r[1]) for r in some.collect()], n))
+        some = pieces if blocks == 1 else pieces.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        yield spark.sparkContext.broadcast(Windows([(r[0], bytes(r[1])) for r in some.select("item_id", "text").collect()], n)), b + 1 < blocks
 
 
 def _scan(texts: list, windows: Windows) -> list[tuple[int, list[tuple[int, int]], set]]:
@@ -132,8 +153,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 
         return run
 
-    for windows in _blocks(benchmark, n):
+    for windows, more in _passes(benchmark, n):
         found = found.mapInArrow(through(windows), shape)
+        found = common.stored(found, "hits") if more else found
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     return found.select("doc_id", "n_words", covered.alias("n_hit"), "items", "spans")
 
@@ -156,8 +178,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, cut: bool
 
         return run
 
-    for windows in _blocks(benchmark, n):
+    for windows, more in _passes(benchmark, n):
         docs = docs.mapInArrow(through(windows), name)
+        docs = common.stored(docs, "decontaminated") if more else docs
     return docs
 
 
