@@ -7,8 +7,8 @@ method on the dual.  Each step needs one small sum over the documents; the rates
 one vector, so they are replayed and never stored.  Targets that no rates reach are warned of.
 
 Edge cases: null and empty texts have no tokens and a uniform posterior; their rate follows from it but moves nothing; null domains are not
-used for fitting; targets are scaled to add up to one, domains without a target count as zero; no labelled rows or
-no tokens leave all rates at one; an empty table gives an empty result; other columns are carried along or ignored.
+used for fitting; targets are scaled to add up to one, domains without a target count as zero; no labelled rows, no
+tokens or no targets at all leave all rates at one; an empty table gives an empty result; other columns are carried along or ignored.
 """
 
 from __future__ import annotations
@@ -142,6 +142,8 @@ def solve(table: DataFrame, target: np.ndarray, close: float = 1e-3, soft: float
     steps; its gradient is target - shares + soft * x.  Each pass over the documents looks at a step and its halves.
     """
     k = len(target)
+    if not k:
+        return []
     x = np.zeros(k)
 
     def look(tried):
@@ -184,7 +186,7 @@ def rates(docs: DataFrame, model: Classifier, targets: dict[str, float]) -> Data
 
     def run(batches):
         for batch in batches:
-            p = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            p = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_replay(p, steps))], names=["doc_id", "n_tokens", "posterior", "rate"])
 
     return table.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>, rate double")
