@@ -4,9 +4,9 @@ Rules of a host and a path prefix judge each url; the longest fitting rule wins.
 one another as canonical, are aliases: connected components over these edges.  A block by a rule reaches
 every alias that no rule allows explicitly; everything else is allowed.
 
-A page's edges are its canonical link and its refresh target, absolute or from the root of its
-host; more edges (src, dst) can be given.  A url stands for itself without its fragment, with
-its scheme and host lower-cased.
+A page's edges are its canonical links and its refresh targets, absolute or relative to its url; more edges (src, dst) can be
+given.  A url stands for itself without its fragment, with its scheme and host lower-cased, an empty path as "/", and "&amp;"
+as "&".
 
 Edge cases: null urls and urls without "://" have an empty host and path, fit no rule and have no aliases; null
 html has no edges; repeated urls are one node; rules of equal length that fit are ordered block before allow, then by text; no pages
@@ -42,11 +42,35 @@ def path_of(url: Column) -> Column:
 
 def node_of(url: Column) -> Column:
     """The url without its fragment, scheme and host lower-cased; null where there is no host."""
+    url = F.replace(url, F.lit("&amp;"), F.lit("&"))
     whole = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)([^#]*)", 1)
     rest = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)([^#]*)", 2)
+    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
     return F.when(host_of(url) != "", F.concat(F.translate(whole, UPPER, LOWER), rest))
 
 
+def resolved(url: Column, target: Column) -> Column:
+    """A target as seen from the page at `url`; null where it names no page."""
+    target = F.trim(F.replace(target, F.lit("&amp;"), F.lit("&")))
+    root, scheme = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
+    page = F.regexp_extract(url, r"(?s)^([^?#]*)", 1)
+    folder = F.concat(root, F.coalesce(F.nullif(F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/")))
+    whole = (
+        F.when(target.contains("://"), target)
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("/"), F.concat(root, target))
+        .when(target.startswith("?"), F.concat(page, target))
+        .when((target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .otherwise(F.concat(folder, target))
+    )
+    # "." and ".." in the path
+    path = F.regexp_replace(path_of(whole), r"/\.{1,2}$", "$0/")
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    short = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    rest = F.regexp_extract(whole, r"(?s)^.*?://[^?#]*([?#].*)?$", 1)
+    return F.when(path_of(whole).contains("/."), F.concat(F.regexp_extract(whole, r"(?s)^(.*?://[^/?#]*)", 1), short, rest)).otherwise(whole)
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """A struct (rule, verdict) of the longest rule that fits, else null."""
     ordered = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[2] != "block", r[0] + r[1]))
@@ -67,13 +91,10 @@ def page_edges(pages: DataFrame) -> DataFrame:
     found = []
     for sign, pattern in (("canonical", LINK), ("http-equiv", REFRESH)):
         # the plain search spares almost all pages the pattern
-        target = F.regexp_extract(F.when(F.col("html").rlike(f"(?i){sign}"), F.col("html")), pattern, 1)
-        found.append(F.when(target != "", target))
-    rows = pages.select("url", F.explode(F.array_compact(F.array(*found))).alias("target"))
-    root = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract("url", r"(?s)^(.*?:)//", 1)
-    whole = F.when(F.col("target").contains("://"), F.col("target")).when(F.col("target").startswith("//"), F.concat(scheme, "target")).when(F.col("target").startswith("/"), F.concat(root, "target"))
-    return rows.select(node_of(F.col("url")).alias("src"), node_of(whole).alias("dst"))
+        page = F.when(F.col("html").rlike(f"(?i){sign}"), F.col("html"))
+        found.append(F.coalesce(F.regexp_extract_all(page, F.lit(pattern), 1), F.array().cast("array<string>")))
+    rows = pages.select("url", F.explode(F.array_distinct(F.concat(*found))).alias("target"))
+    return rows.select(node_of(F.col("url")).alias("src"), node_of(resolved(F.col("url"), F.col("target"))).alias("dst"))
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -89,7 +110,9 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     nodes = comps.select("node", "component", rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"].alias("v"))
     blocked = nodes.groupBy("component").agg(F.max(F.coalesce(F.col("v") == "block", F.lit(False))).alias("blocked"))
     blocked = nodes.join(blocked, "component").select("node", "component", "blocked")
-    got = own.join(blocked, "node", "left")
+    # urls without a host have no aliases, and would all meet in one task
+    alone = own.where("node is null").withColumns({"component": F.lit(None).cast("string"), "blocked": F.lit(None).cast("boolean")})
+    got = own.where("node is not null").join(blocked, "node", "left").unionByName(alone)
     verdict = F.coalesce("said", F.when(F.col("blocked"), "block"), F.lit("allow"))
     return got.select("page_id", "url", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("component", "node").alias("component"))
 
