@@ -206,11 +206,11 @@ def balanced_split(sm: DataFrame, per_class: int) -> DataFrame:
 # --- neighbours
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, itself: bool = False, spare: int = 4, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, itself: bool = False, block: int = BLOCK) -> DataFrame:
     """(id, neighbour, rank, d2): the k rows of `base` nearest to each query by squared distance, then by id.
 
-    Both sides are cut into blocks; a task compares one block with one, by a matrix product, and keeps k + spare per query, whose
-    distances are then taken exactly.  Work is the product of the sides, memory is two blocks.
+    Both sides are cut into blocks; a task compares one block with one, by a matrix product, takes the distances of all that come within
+    rounding of the k-th exactly, and keeps the first k of these.  Work is the product of the sides, memory is two blocks.
     """
     nq, nb = queries.count(), base.count()
     bq, bb = max(1, -(-nq // block)), max(1, -(-nb // block))
@@ -223,19 +223,21 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, itself: bool = False, s
             return pd.DataFrame({"id": np.zeros(0, np.int64), "neighbour": np.zeros(0, np.int64), "d2": np.zeros(0)})
         x, y = np.stack(q["feat"].to_numpy()), np.stack(b["feat"].to_numpy())
         qi, bi = q["id"].to_numpy(), b["id"].to_numpy()
-        m = min(len(bi), k + spare + 1)
-        out = []
+        m, out, far = min(len(bi), k), [], 1e-12 * (1 + (x * x).sum(1).max() + (y * y).sum(1).max())
         for at in range(0, len(x), 512):
-            part = x[at : at + 512]
+            part, own = x[at : at + 512], qi[at : at + 512]
             d = (part * part).sum(1)[:, None] - 2 * part @ y.T + (y * y).sum(1)[None]
             if not itself:
-                d[qi[at : at + 512, None] == bi[None]] = np.inf
-            near = np.argpartition(d, m - 1, 1)[:, :m] if m < len(bi) else np.tile(np.arange(len(bi)), (len(part), 1))
-            exact = ((part[:, None] - y[near]) ** 2).sum(2)
-            own = np.repeat(qi[at : at + 512], near.shape[1])
-            out.append(pd.DataFrame({"id": own, "neighbour": bi[near].ravel(), "d2": exact.ravel()}))
-        got = pd.concat(out)
-        return got if itself else got[got["id"] != got["neighbour"]]
+                d[own[:, None] == bi[None]] = np.inf
+            # distances that differ beyond the ninth digit count as equal
+            r, c = np.nonzero((d <= np.partition(d, m - 1, 1)[:, m - 1 : m] + far + 1e-9) & (d < np.inf))
+            exact = np.concatenate([((part[i] - y[j]) ** 2).sum(1) for i, j in zip(np.array_split(r, len(r) // 100_000 + 1), np.array_split(c, len(r) // 100_000 + 1))])
+            order = np.lexsort((bi[c], np.round(exact, 9), r))
+            r, c, exact = r[order], c[order], exact[order]
+            first = np.searchsorted(r, r)
+            keep = np.arange(len(r)) - first < k
+            out.append(pd.DataFrame({"id": own[r[keep]], "neighbour": bi[c[keep]], "d2": exact[keep]}))
+        return pd.concat(out)
 
     found = left.unionByName(right).groupBy("i", "j").applyInPandas(run, "id long, neighbour long, d2 double")
     # equal distances that differ in their last digits count as equal
