@@ -47,6 +47,13 @@ def linear_stretch(v: Column, f1: float, f2: float, g1: float, g2: float) -> Col
     return F.when(v < f1, F.lit(float(g1))).when(v > f2, F.lit(float(g2))).otherwise(inside)
 
 
+def exponential_stretch(v: Column, f1: float, f2: float, g1: float, g2: float) -> Column:
+    """f1..f2 to g1..g2 along an exponential curve, truncated; what lies beyond is clamped."""
+    low = math.exp(-1)
+    inside = (g2 * (F.exp((v - f2) / (f2 - f1)) - low) + g1 + low).cast("int") if f1 != f2 else F.lit(int(g2))
+    return F.when(v < f1, int(g1)).when(v > f2, int(g2)).otherwise(inside)
+
+
 def threshold(v: Column, low: float, high: float, value: int = 1) -> Column:
     return F.when((v >= low) & (v <= high), value).otherwise(0)
 
@@ -121,10 +128,6 @@ def without_extension(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[^./]+$", "")
 
 
-def right_trim(text: Column, char: str) -> Column:
-    return F.regexp_replace(text, "\\Q" + char + "\\E$", "")
-
-
 def json_path(doc: Column, path: str) -> Column:
     """The value at keys separated by `:`."""
     return F.get_json_object(doc, "$." + path.replace(":", "."))

@@ -385,3 +385,69 @@ def flood_components(lines: DataFrame, connect: Callable[[DataFrame], DataFrame]
     return cells.where(~F.isnan("val")).join(comps, ["image", "label"], "left").select("image", "y", "x", "val", F.coalesce("component", "label").alias("component"))
 
 
+# --- radiometry of pixel tables (x, y, val)
+
+
+def region_normalised(px: DataFrame, region: Column, low: float, high: float, name: str = "val") -> DataFrame:
+    """val to low..high, truncated, by the least and the largest value where `region` is true."""
+    ends = px.agg(F.min(F.when(region, F.col("val"))).alias("_lo"), F.max(F.when(region, F.col("val"))).alias("_hi"))
+    scaled = (high - low) * (F.col("val") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) + low
+    return px.join(F.broadcast(ends)).withColumn(name, F.round(scaled, 9).cast("int")).drop("_lo", "_hi")
+
+
+def standardised(px: DataFrame, mean: float, stdev: float, largest: int, name: str = "val") -> DataFrame:
+    """Values moved to a mean, and as far from it as the root of the ratio of deviations says; truncated, within 0..largest."""
+    own = px.agg(F.avg("val").alias("_m"), F.stddev_pop("val").alias("_s"))
+    away = F.abs(F.col("val") - F.col("_m")) * F.sqrt(stdev / F.col("_s"))
+    moved = F.when(F.col("val") > F.col("_m"), F.least(F.lit(float(largest)), mean + away)).otherwise(F.greatest(F.lit(0.0), mean - away))
+    return px.join(F.broadcast(own)).withColumn(name, F.round(moved, 6).cast("int")).drop("_m", "_s")
+
+
+def _shares(px: DataFrame) -> pd.DataFrame:
+    """(val, acc) of integer values: the share of pixels up to each; as many rows as grey levels, at most 65,536."""
+    got = px.groupBy("val").agg(F.count("*").alias("n")).orderBy("val").limit(65_537).toPandas()
+    if len(got) > 65_536:
+        raise ValueError("more than 65,536 grey levels")
+    got["acc"] = got["n"].cumsum() / max(1, got["n"].sum())
+    return got[["val", "acc"]]
+
+
+def without_outliers(px: DataFrame, low: int, high: int, share: float) -> DataFrame:
+    """Integer values to low..high by the least value and the first one above `share` of the pixels; larger ones to high."""
+    levels = _shares(px)
+    if levels.empty:
+        return px
+    above = levels[levels["acc"] > share]["val"]
+    first, top = int(levels["val"].iloc[0]), int(above.iloc[0] if len(above) else levels["val"].iloc[-1])
+    scaled = F.round((high - low) * (F.col("val") - first) / float(max(1, top - first)) + low, 9).cast("long")
+    return px.withColumn("val", F.when(F.col("val") <= top, scaled).otherwise(F.lit(high).cast("long")))
+
+
+def histogram_matched(px: DataFrame, reference: DataFrame) -> DataFrame:
+    """Each integer value becomes the reference's value whose share of pixels up to it is nearest; the lesser of equal ones."""
+    own, other = _shares(px), _shares(reference)
+    if own.empty or other.empty:
+        return px
+    acc, values = other["acc"].to_numpy(), other["val"].to_numpy()
+    right = np.clip(np.searchsorted(acc, own["acc"].to_numpy()), 0, len(acc) - 1)
+    left = np.maximum(right - 1, 0)
+    gap = lambda k: np.round(np.abs(acc[k] - own["acc"].to_numpy()), 12)
+    to = np.where(gap(left) <= gap(right), values[left], values[right])
+    table = px.sparkSession.createDataFrame(pd.DataFrame({"val": own["val"].astype("int64"), "to": to.astype("int64")}))
+    return px.withColumn("val", F.col("val").cast("long")).join(F.broadcast(table), "val").withColumn("val", F.col("to")).drop("to")
+
+
+def equalised(px: DataFrame, levels: int) -> DataFrame:
+    """The rank of each pixel, by value, row and column, over the size of one of `levels` equal buckets.
+
+    Ranks are added up from counts of values, of rows within a value, and places within a row, so that no task holds more than a row.
+    """
+    n = px.count()
+    size = max(1, n // levels)
+    rows = px.groupBy("val", "y").agg(F.count("*").alias("n"))
+    by_value = rows.groupBy("val").agg(F.sum("n").alias("n"))
+    before = by_value.withColumn("b", F.sum("n").over(W.orderBy("val")) - F.col("n")).drop("n")
+    rows = rows.withColumn("r", F.sum("n").over(W.partitionBy("val").orderBy("y")) - F.col("n")).drop("n")
+    at = F.row_number().over(W.partitionBy("val", "y").orderBy("x")) - 1
+    ranked = px.withColumn("at", at).join(rows, ["val", "y"]).join(before, "val")
+    return ranked.withColumn("val", F.floor((F.col("at") + F.col("r") + F.col("b")) / size)).drop("at", "r", "b")
