@@ -37,7 +37,7 @@ def _vector(cells: DataFrame) -> DataFrame:
 _R = "round({0}, 4) + 0.0 AS v"
 CELLWISE: dict[str, tuple[Callable[[DataFrame], DataFrame], str]] = {
     "matrix_transposed": (A.transposed, f"SELECT m, j AS i, i AS j, {_R.format('v')} FROM mp"),
-    "matrix_product": (lambda a: A.product(a, A.transposed(a)), f"SELECT a.m, a.i, b.j, {_R.format('sum(a.v * b.v)')} FROM mp a JOIN tr b ON a.m = b.m AND a.j = b.i GROUP BY ALL"),
+    "matrix_square": (lambda a: A.product(a, A.transposed(a)), f"SELECT a.m, a.i, b.j, {_R.format('sum(a.v * b.v)')} FROM mp a JOIN tr b ON a.m = b.m AND a.j = b.i GROUP BY ALL"),
     "matrix_chain": (lambda a: A.chain(a, a, a), f", p AS (SELECT a.m, a.i, b.j, sum(a.v * b.v) AS v FROM mp a JOIN mp b ON a.m = b.m AND a.j = b.i GROUP BY ALL) SELECT a.m, a.i, b.j, {_R.format('sum(a.v * b.v)')} FROM p a JOIN mp b ON a.m = b.m AND a.j = b.i GROUP BY ALL"),
     **{f"matrix_{n}": (lambda a, s=s: A.pointwise(a, A.transposed(a), s), f"SELECT m, i, j, {_R.format(f'a.v {s} b.v')} FROM mp a JOIN tr b USING (m, i, j)") for n, s in (("added", "+"), ("subtracted", "-"), ("multiplied", "*"), ("divided", "/"))},
     "matrix_scalar": (lambda a: A.with_scalar(A.with_scalar(a, 2.0, "/", first=True), 3.0, "-"), f"SELECT m, i, j, {_R.format('2 / v - 3')} FROM mp"),
