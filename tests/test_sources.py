@@ -1,12 +1,15 @@
 """Round trips of every file format."""
 
 import json
+import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graticule.sources import formats as fm
+from graticule.sources import images, models
 from graticule.streaming import running
 
 
@@ -132,3 +135,109 @@ def test_windows_of_a_stream(spark, tmp_path):
     q.stop()
     assert [(r["n"], r["mean"]) for r in spark.sql("SELECT * FROM windows").collect()] == [(2, 2.0)]
     assert running.between(rows, "t", "2024-01-01 00:00:50", "2024-01-01 00:05:00").count() == 1
+
+
+# --- PNG, volumes, containers
+
+
+@pytest.mark.parametrize("shape,top", [((5, 7), 255), ((4, 6, 3), 255), ((3, 3), 60000), ((2, 5, 4), 255), ((3, 2, 2), 255)])
+def test_png(shape, top):
+    data = np.random.default_rng(1).integers(0, top + 1, shape)
+    raw = images.write_png(data)
+    assert (images.decode_png(raw) == data.reshape(*shape[:2], -1)).all()
+    with pytest.raises(ValueError):
+        images.decode_png(raw[:40] + b"\0" + raw[41:])
+
+
+def test_png_filters_and_palette():
+    """Each scanline with another filter, and two-bit numbers of a palette."""
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, (5, 4, 3)).astype(np.uint8)
+    flat, lines, up = data.reshape(5, -1).astype(int), [], np.zeros(12, int)
+    for y, row in enumerate(flat):
+        left, corner = np.concatenate(([0, 0, 0], row[:-3])), np.concatenate(([0, 0, 0], up[:-3]))
+        near = [min((abs(a + b - c - v), k, v) for k, v in enumerate((a, b, c)))[2] for a, b, c in zip(left.tolist(), up.tolist(), corner.tolist())]
+        guess = [0 * row, left, up, (left + up) // 2, np.array(near)][y]
+        lines.append(bytes([y]) + ((row - guess) % 256).astype(np.uint8).tobytes())
+        up = row
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    raw = images.PNG_SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    assert (images.decode_png(raw) == data).all()
+    raw = images.PNG_SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 1, 2, 3, 0, 0, 0)) + chunk(b"PLTE", bytes(range(12))) + chunk(b"IDAT", zlib.compress(bytes([0, 0b00011011, 0b01000000]))) + chunk(b"IEND", b"")
+    assert images.decode_png(raw)[0].tolist() == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11], [3, 4, 5]]
+
+
+def test_images_by_extension(spark, tmp_path):
+    data = np.random.default_rng(3).integers(0, 200, (4, 5))
+    put(tmp_path, "a.png", images.write_png(data))
+    put(tmp_path, "b.pgm.gz", images.zipped(fm.write_pnm(data)))
+    for name in ("a.png", "b.pgm.gz"):
+        rows = images.read_images(spark, str(tmp_path / name)).orderBy("p").collect()
+        assert [r["feat"][0] for r in rows] == data.ravel().tolist() and rows[6]["x"] == 1 and rows[6]["y"] == 1
+    with pytest.raises(ValueError):
+        images.read_images(spark, "x.tiff")
+
+
+@pytest.mark.parametrize("kind", ["nii", "nii.gz", "vtk"])
+def test_volumes(spark, tmp_path, kind):
+    data = np.random.default_rng(4).integers(-50, 900, (2, 3, 4))
+    raw = images.write_vtk(data) if kind == "vtk" else images.write_nifti(data, (0.5, 1.0, 2.0))
+    path = put(tmp_path, f"v.{kind}", images.zipped(raw) if kind.endswith("gz") else raw)
+    rows = images.read_images(spark, path).orderBy("p").collect()
+    assert [r["val"] for r in rows] == data.ravel().tolist()
+    assert (rows[17]["x"], rows[17]["y"], rows[17]["z"]) == (1, 1, 1)
+    if kind == "nii":
+        got, voxel = images.decode_nifti(images.write_nifti(data / 4.0))
+        assert np.allclose(got, data / 4.0) and voxel == (1.0, 1.0, 1.0)
+
+
+def test_frames_and_sequences(spark, tmp_path):
+    for k in range(3):
+        put(tmp_path, f"f{k}.png", images.write_png(np.full((2, 2), 10 * k)))
+    volume = images.frames_as_volume(images.read_images(spark, str(tmp_path / "*.png")))
+    assert {(r["z"], r["val"]) for r in volume.collect()} == {(0, 0), (1, 10), (2, 20)}
+    times = volume.withColumn("t", F.lit(0)).select("t", "x", "y", "z", "val")
+    longer = images.sequence(times, 1, volume.withColumn("val", F.col("val") + 1))
+    assert {r["val"] for r in images.moment_slice(longer, 1, 2).collect()} == {21} and longer.count() == 24
+    assert images.sequence(longer, 1, volume).where("val = 21").count() == 0
+
+
+def test_animation():
+    frames = np.random.default_rng(5).integers(0, 128, (3, 11, 17))
+    assert images.gif_frames(images.write_gif(frames)) == frames.reshape(3, -1).tolist()
+
+
+def test_containers(spark, tmp_path):
+    sm = spark.createDataFrame([(1, [1.0, 2.0], 3), (2, [4.0, 5.0], 1)], "id long, feat array<double>, truelabel int")
+    models.save_samples(str(tmp_path / "s"), sm, classes=3)
+    assert sorted(models.load_samples(spark, str(tmp_path / "s")).collect()) == sorted(sm.collect())
+    arcs = spark.createDataFrame([(1, 2, 0.5)], "src long, dst long, w double")
+    models.save_graph(str(tmp_path / "g"), sm, arcs, k=5, best=2)
+    nodes, got, params = models.load_graph(spark, str(tmp_path / "g"))
+    assert params == {"k": 5, "best": 2} and got.collect() == arcs.collect() and nodes.count() == 2
+    models.save_model(spark, str(tmp_path / "m"), mean=np.array([1.5, 2.0]), axes=np.eye(2), kind="pca", n=np.int64(4))
+    m = models.load_model(spark, str(tmp_path / "m"))
+    assert m["kind"] == "pca" and m["n"] == 4 and (m["axes"] == np.eye(2)).all() and m["mean"].tolist() == [1.5, 2.0]
+    d = {(r["i"], r["j"]): r["d"] for r in models.distances(sm).collect()}
+    assert d[1, 1] == 0 and abs(d[1, 2] - 18**0.5) < 1e-12 and len(d) == 4
+
+
+def test_files_of_numbers(spark, tmp_path):
+    a = np.array([[1.5, -2.0, 3.25], [0.0, 4.0, 5.5]])
+    cells = [("m", i, j, a[i, j]) for i in range(2) for j in range(3)]
+    assert list(models.parse_matrix_csv("m", models.write_matrix_csv(a).encode())) == cells
+    path = put(tmp_path, "m.raw", models.write_raw_matrix(a))
+    assert sorted(tuple(r) for r in fm.scan(spark, path, models.parse_raw_matrix, models.CELLS).collect()) == cells
+    axes = list(models.parse_axes("p", models.write_axes(a[0], a.T)))
+    assert axes[:3] == [("p", -1, j, a[0, j]) for j in range(3)] and [x[3] for x in axes[3:]] == a.T.ravel().tolist()
+    taps = [(0, 0), (1, -1), (2, 3)]
+    assert [x[2:] for x in models.parse_stencil("k", models.write_stencil(taps, [1.0, 0.5, 2.0]).encode())] == [(0, 0, 0, 1.0), (1, -1, 0, 0.5), (2, 3, 0, 2.0)]
+    assert [x[2:] for x in models.parse_stencil("k", models.write_stencil(taps).encode())][1] == (1, -1, 0, 1.0)
+    values, shape = models.write_tensor(np.arange(6).reshape(1, 2, 3))
+    assert shape == "1,2,3" and [x[2] for x in models.parse_array("t", values.encode())] == [0, 1, 2, 3, 4, 5]
+    put(tmp_path, "t.txt", values)
+    t = models.tensor_of(fm.scan(spark, str(tmp_path / "t.txt"), models.parse_array, models.ARRAY), (1, 2, 3))
+    assert {tuple(r["index"]): r["v"] for r in t.collect()}[(0, 1, 2)] == 5
+    pts = spark.createDataFrame([("1 2 3",), (" 4.5  6 1 ",), ("",)], "value string")
+    assert sorted((r["feat"], r["truelabel"]) for r in models.points(pts).collect()) == [([1.0, 2.0], 3), ([4.5, 6.0], 1)]
+    assert json.loads(models.write_pretty({"a": [1, {"b": 2}]})) == {"a": [1, {"b": 2}]}
