@@ -19,10 +19,12 @@ ALNUM_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset an own one, if all run on this machine."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="graticule-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -30,15 +32,19 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint; its files go when the driver drops the frame."""
+    """Cut lineage with a reliable checkpoint; with spark.cleaner.referenceTracking.cleanCheckpoints its files go when the driver drops the frame."""
     scratch_dir(df.sparkSession)
     return df.checkpoint()
 
 
+#: Bytes of a row group of scratch tables, which writers and readers hold in memory.
+ROW_GROUP = 16 << 20
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back."""
+    """Write `df` as a Parquet table in the shared folder and read it back; the table stays until the folder is cleared."""
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -149,9 +155,10 @@ def labelled_sample(docs: DataFrame, ids: DataFrame, classes: list, most: int) -
     return [(r[0] or "", r[1]) for r in rows.orderBy("label", "doc_id").select("text", "label").collect()]
 
 
-def give_back() -> None:
-    """Return memory that a fit has freed to the system, where the C library can; the driver keeps running beside its JVM."""
-    gc.collect()
+def give_back(collect: bool = True) -> None:
+    """Return memory that a fit has freed to the system, where the C library can; workers and the driver run beside their JVMs."""
+    if collect:
+        gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
     if trim:
         trim(0)

@@ -79,6 +79,14 @@ class Subwords:
     def starts(self) -> np.ndarray:
         return self._ready()[2]
 
+    def kind(self):
+        """The type that ids are kept as."""
+        return np.uint16 if self.end < 1 << 16 else np.uint32
+
+    def rest(self) -> None:
+        """Give up the tokenizer until it is asked for again."""
+        self._made = None
+
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The subword ids of all words end to end, and how many each has.  No word holds a space, so ids that start with one start a word."""
         enc, _, starts = self._ready()
@@ -122,7 +130,7 @@ def blocks(docs: DataFrame, subwords: Subwords) -> DataFrame:
         pieces, lens = shared.value.of([words[k] for k in order.tolist()])
         return {
             "block": [block], "doc_id": [ids], "held": [held.tolist()], "size": [size.tolist()],
-            "words": [flat.astype(np.uint32).tobytes()], "hash": [hashes[order].tobytes()], "count": [count.tobytes()], "subs": [pieces.astype(np.uint32).tobytes()], "lens": [lens.astype(np.uint32).tobytes()],
+            "words": [flat.astype(np.uint32).tobytes()], "hash": [hashes[order].tobytes()], "count": [count.tobytes()], "subs": [pieces.astype(shared.value.kind()).tobytes()], "lens": [lens.astype(np.uint32).tobytes()],
         }
 
     kinds = {"block": pa.int64(), "doc_id": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "size": pa.list_(pa.int32())}
@@ -134,6 +142,10 @@ def blocks(docs: DataFrame, subwords: Subwords) -> DataFrame:
                 block += 1
                 row = make(block, part.column(0).to_pylist(), part.column(2).to_numpy(zero_copy_only=False).astype(bool), part.column(1))
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in row.items()})
+                del row, part
+                common.give_back(collect=False)
+        shared.value.rest()
+        common.give_back()
 
     held = F.coalesce(common.crc_rest(F.col("doc_id"), 10) == 0, F.lit(False)).alias("held")
     return common.stored(docs.select("doc_id", "text", held).mapInArrow(run, BLOCK), "blocks")
@@ -248,13 +260,19 @@ class Spelling:
         return np.bincount(word, np.log10((seen + self.back_off * alone) / (self.context[before] + self.back_off)), len(lens))
 
 
+def _ids(raw: bytes, lens: np.ndarray) -> np.ndarray:
+    """Subword ids of words of some lengths, kept as 16 or 32 bits."""
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * int(lens.sum()) else np.uint32)
+
+
 class _Block:
     """A block's arrays as the model takes them; after its distinct words come the end and the event of a new word."""
 
     def __init__(self, row: dict, rows: np.ndarray):
         self.size = np.array(row["size"], np.int64)
         self.words = np.frombuffer(row["words"], np.uint32)
-        self.subs, self.lens = np.frombuffer(row["subs"], np.uint32), np.frombuffer(row["lens"], np.uint32).astype(np.int64)
+        self.lens = np.frombuffer(row["lens"], np.uint32).astype(np.int64)
+        self.subs = _ids(row["subs"], self.lens)
         n = len(self.lens)
         self.end, self.new = n, n + 1
         self.lexicon = Lexicon(np.concatenate((rows[self.subs], rows[-1:], [1])), np.concatenate((self.lens, [1, 1])))
@@ -289,7 +307,8 @@ def spelling_counts(table: DataFrame, subwords: Subwords, tasks: int) -> tuple[n
     def run(batches):
         total = np.zeros(size)
         for row in _rows(batches, "count", "subs", "lens"):
-            count, subs, lens = np.frombuffer(row["count"], np.uint32), np.frombuffer(row["subs"], np.uint32).astype(np.int64), np.frombuffer(row["lens"], np.uint32).astype(np.int64)
+            count, lens = np.frombuffer(row["count"], np.uint32), np.frombuffer(row["lens"], np.uint32).astype(np.int64)
+            subs = _ids(row["subs"], lens).astype(np.int64)
             total[:v] += np.bincount(subs, np.repeat(count, lens), v)
             rare = (count > 0) & (count <= RARE)
             before, after, _ = _spelled(subs[np.repeat(rare, lens)], lens[rare], v - 2)
@@ -336,14 +355,15 @@ def train(table: DataFrame, rows: np.ndarray, tasks: int, n_windows: int, least_
             own = Attention(len(start.spell))
             _set(own, _flat(start))
             optimiser, often, words, step = Adam(own), np.zeros(len(own.spell)), 0, 0
-            for row in _rows(batches, "block", "held", "size", "words", "count", "hash", "subs", "lens"):
+            for row in _rows(batches, "block", "held", "size", "words", "count", "subs", "lens"):
                 texts = np.flatnonzero(~np.array(row["held"], bool))
                 if not len(texts):
                     continue
                 block = _Block(row, rows)
                 last, target, first, size = block.stream(texts)
-                # half of the words that occur once stand for new ones
-                once = (np.frombuffer(row["count"], np.uint32) == 1) & (np.frombuffer(row["hash"], np.uint64) % np.uint64(2) == 0)
+                # half of the words that occur once stand for new ones; words stand in the order of their hashes
+                once = np.frombuffer(row["count"], np.uint32) == 1
+                once[1::2] = False
                 target = np.where(np.append(once, False)[target], block.new, target)
                 begin, lo, hi = own.windows(first, size)
                 n = len(begin)
@@ -366,7 +386,7 @@ def train(table: DataFrame, rows: np.ndarray, tasks: int, n_windows: int, least_
             yield from _parts(np.concatenate(((_flat(own) - _flat(start)) * weight, often, [words])))
 
         n = model.count()
-        total = _sums(table.select("block", "held", "size", "words", "count", "hash", "subs", "lens").coalesce(tasks).mapInArrow(run, PARTS), n + len(model.spell) + 1)
+        total = _sums(table.select("block", "held", "size", "words", "count", "subs", "lens").coalesce(tasks).mapInArrow(run, PARTS), n + len(model.spell) + 1)
         weight = np.concatenate((np.repeat(total[n:-1], model.spell.shape[1]), np.full(n - model.spell.size, total[-1])))
         _set(model, _flat(model) + total[:n] / np.maximum(weight, 1.0))
         shared.unpersist()
@@ -383,7 +403,7 @@ def normalisers(table: DataFrame, model: Attention, rows: np.ndarray, tasks: int
         total = np.zeros(model.prior.size)
         for row in _rows(batches, "count", "subs", "lens"):
             count, lens = np.frombuffer(row["count"], np.uint32), np.frombuffer(row["lens"], np.uint32)
-            lexicon = Lexicon(rows[np.frombuffer(row["subs"], np.uint32)], lens)
+            lexicon = Lexicon(rows[_ids(row["subs"], lens)], lens)
             on = np.flatnonzero(count)
             for at in range(0, len(on), 1 << 16):
                 words, _ = lexicon.used(on[at : at + (1 << 16)])
@@ -467,6 +487,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             out["base_score"] += np.add.reduceat(base[token], cuts).tolist()
             out["score"] += np.add.reduceat(p, cuts).tolist()
             a = b
+        common.give_back(collect=False)
         return pa.table({
             "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": size + 1, "n_known": pa.array(out["n_known"], pa.int64()),
             "train_tokens": np.full(len(size), n, np.int64), "base_score": pa.array(out["base_score"], pa.float64()), "score": pa.array(out["score"], pa.float64()),
