@@ -14,6 +14,7 @@ result; other columns are ignored; repeated ids count as separate vectors.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,18 +119,22 @@ def _links(reps: DataFrame, threshold: float, lead: int) -> DataFrame:
     cuts = reps.stat.approxQuantile("at", [k / tiles for k in range(1, tiles)], 0.1 / tiles) if tiles > 1 else []
     bounds = [-1.0 - 1e-9, *cuts, 1.0 + 1e-9]
     reach = np.sqrt(2 - 2 * threshold) + 1e-6 if threshold < 1 else 1e-6
-    # Tiles are slices along the first axis; those farther apart than two linked vectors can be never meet.
-    meets = [[] for _ in range(tiles)]
-    for a in range(tiles):
-        for b in range(a, tiles):
-            if bounds[b] - bounds[a + 1] <= reach:
-                for t in {a, b}:
-                    meets[t].append(a * tiles + b)
-    tile = F.lit(0)
-    for c in cuts:
-        tile = tile + (F.col("at") > F.lit(c)).cast("int")
-    table = F.array(*[F.array(*map(F.lit, m)) for m in meets])
-    dealt = reps.withColumn("tile", tile).withColumn("pair", F.explode(F.element_at(table, F.col("tile") + 1)))
+    # Tiles are slices along the first axis; those farther apart than two linked vectors can be never meet, and a vector goes to
+    # those slices only that it can reach.  Slices that a tile meets stand side by side, so their first and last say which.
+    edges = np.array(bounds)
+    low = np.searchsorted(edges[1:], edges[:-1] - reach)
+    high = np.searchsorted(edges[:-1], edges[1:] + reach, side="right") - 1
+    table = reps.sparkSession.createDataFrame([(k, int(low[k]), int(high[k])) for k in range(tiles)], "tile int, low int, high int")
+    sides = reps.sparkSession.createDataFrame([(k, float(edges[k]), float(edges[k + 1])) for k in range(tiles)], "other int, begin double, end double")
+    between = np.array(cuts)
+
+    @F.pandas_udf("int")
+    def tile_of(at: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(between, at.to_numpy()).astype(np.int32))
+
+    dealt = reps.withColumn("tile", tile_of("at")).join(F.broadcast(table), "tile").withColumn("other", F.explode(F.sequence("low", "high")))
+    dealt = dealt.join(F.broadcast(sides), "other").where((F.col("tile") == F.col("other")) | ((F.col("at") >= F.col("begin") - reach) & (F.col("at") <= F.col("end") + reach)))
+    dealt = dealt.withColumn("pair", F.least("tile", "other").cast("long") * tiles + F.greatest("tile", "other"))
 
     def compare(t: pa.Table) -> pa.Table:
         pair = t.column("pair")[0].as_py()
@@ -160,3 +165,16 @@ def _links(reps: DataFrame, threshold: float, lead: int) -> DataFrame:
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (
+  SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM e
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_inner_product(v, v) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id AND list_inner_product(a.v, b.v) >= 0.95 * a.n * b.n
+), r(n, c) AS (SELECT vec_id, vec_id FROM e UNION SELECT p.b, r.c FROM r JOIN p ON p.a = r.n),
+k AS (SELECT n AS vec_id, min(c) AS component_id FROM r GROUP BY n), l AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a)
+SELECT e.vec_id, coalesce(l.n_links, 0) AS n_links, k.component_id, k.component_id = e.vec_id AS kept FROM e JOIN k USING (vec_id) LEFT JOIN l USING (vec_id)
+"""
