@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
 }
 
-SQL: dict[str, str] = {"op6_urls": urls.SQL}
+SQL: dict[str, str] = {"op3_decontamination": decontam.SQL, "op6_urls": urls.SQL, "op7_substrings": substrings.SQL, "op9_embeddings": embed.SQL}

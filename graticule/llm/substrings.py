@@ -430,3 +430,18 @@ def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 200 bytes by its md5; two hexadecimal digits stand for a byte.
+SQL = """
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT r, i, md5(substring(h, 2 * i + 1, 400)) AS g FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM t WHERE length(h) >= 400)),
+x AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) > 200 AS fresh FROM s JOIN (SELECT g FROM s GROUP BY g HAVING count(*) > 1) USING (g)),
+n AS (SELECT r, i, count(*) FILTER (fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM x),
+u AS (SELECT r, run, min(i) AS a, max(i) + 200 AS b FROM n GROUP BY r, run),
+v AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS done FROM u),
+k AS (SELECT v.r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substring(t.h, CAST(2 * done + 1 AS BIGINT), CAST(2 * (a - done) AS BIGINT)), '' ORDER BY a) AS front FROM v JOIN t USING (r) GROUP BY v.r)
+SELECT t.doc_id, length(t.h) // 2 AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k.front || substring(t.h, CAST(2 * k.last + 1 AS BIGINT)), t.h))) AS kept_sha256
+FROM t LEFT JOIN k USING (r)
+"""
