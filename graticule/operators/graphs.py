@@ -13,24 +13,59 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir, or in an own one where that is unset."""
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; where that is unset in an own one, if all runs on this machine."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graticule-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graticule-"))
     return df.checkpoint()
 
 
+#: Edges that one task contracts to stars before the rounds.
+CONTRACT = 500_000
+
+
+def _stars(batches):
+    """The edges of a partition (hi, lo) as stars around the least node of each part that they connect."""
+    frames = [b for b in batches if len(b)]
+    if not frames:
+        return
+    both = pd.concat(frames)
+    ids, at = np.unique(both.to_numpy().ravel(), return_inverse=True)
+    at = at.reshape(-1, 2)
+    root = np.arange(len(ids))
+    while True:  # each node takes the least label among its neighbours, then labels are followed to their ends
+        new = root.copy()
+        np.minimum.at(new, at[:, 0], root[at[:, 1]])
+        np.minimum.at(new, at[:, 1], root[at[:, 0]])
+        np.minimum.at(new, root[at[:, 0]], new[at[:, 0]])
+        np.minimum.at(new, root[at[:, 1]], new[at[:, 1]])
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    on = root != np.arange(len(ids))
+    yield pd.DataFrame({"hi": ids[on], "lo": ids[root[on]]})
+
+
 def components(edges: DataFrame, a: str = "src", b: str = "dst", rounds: int = 60) -> DataFrame:
     """(node, component) of every node of an edge; the component is its smallest node.
 
-    Large and small stars in turn: each node's larger neighbours are hung on its least one, then
+    Where nodes are numbers, what a partition's edges connect becomes a star first, so that no more edges than nodes of a partition go on.  Then large and small
+    stars in turn: each node's larger neighbours are hung on its least one, then
     its smaller ones, until nothing changes; a logarithmic number of rounds, two joins each.
     """
-    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    e = cut_lineage(e.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
+    e = cut_lineage(e.distinct())
     loops = e.where("hi = lo").select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     e, last = e.where("hi <> lo"), None
+    n = e.count() if dict(e.dtypes)["hi"] == "bigint" else 0
+    if n:
+        e = cut_lineage(e.coalesce(max(1, -(-n // CONTRACT))).mapInPandas(_stars, "hi long, lo long").distinct())
     for _ in range(rounds):
         h = F.xxhash64("hi", "lo")
         now = tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 34))).first())
@@ -43,8 +78,12 @@ def components(edges: DataFrame, a: str = "src", b: str = "dst", rounds: int = 6
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(least.select("hi", F.col("m").alias("lo")))
         e = cut_lineage(small.where("hi <> lo").distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("lo").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots).unionByName(loops).distinct()
+    found = e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
+    # nodes of loops alone
+    return found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
 
 
 def marker_components(edges: DataFrame, seeds: DataFrame) -> DataFrame:

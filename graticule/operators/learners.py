@@ -6,6 +6,7 @@ prototypes (optimum-path clusters, medoids).
 
 from __future__ import annotations
 
+import heapq
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, OneVsRest
@@ -108,16 +109,20 @@ def medoids(sm: DataFrame, init: DataFrame, rounds: int = 3) -> DataFrame:
     return best
 
 
-def _clusters(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Root and density of each row: each climbs, along arcs to its k nearest, the path whose least density is largest."""
+def _near(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each row's k nearest others, and their distances."""
     n = len(x)
-    if n == 1:
-        return np.zeros(1, int), np.ones(1)
     d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2) if n <= 512 else (x * x).sum(1)[:, None] - 2 * x @ x.T + (x * x).sum(1)[None], 0))
     np.fill_diagonal(d, np.inf)
-    k = min(k, n - 1)
-    near = np.argsort(np.round(d, 9), 1, kind="stable")[:, :k]
-    w = np.take_along_axis(d, near, 1)
+    near = np.argsort(np.round(d, 9), 1, kind="stable")[:, : min(k, n - 1)]
+    return near, np.take_along_axis(d, near, 1)
+
+
+def _climbed(ids: np.ndarray, near: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Root and density of each row: each climbs, along arcs to its nearest ones, the path whose least density is largest."""
+    n = len(ids)
+    if n == 1 or not near.size:
+        return np.arange(n), np.ones(n)
     scale = 2 * w.max() ** 2 / 9
     raw = (1 - np.exp(-w * w / scale)).sum(1) if scale else np.zeros(n)
     span = raw.max() - raw.min()
@@ -127,8 +132,6 @@ def _clusters(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
         for j in r:
             if density[j] == density[i]:  # plateaus are joined both ways
                 around[j].add(i)
-    import heapq
-
     value, root, done = density - 1, np.arange(n), np.zeros(n, bool)
     heap = [(-value[i], int(ids[i]), i) for i in range(n)]
     heapq.heapify(heap)
@@ -147,15 +150,38 @@ def _clusters(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return root, density
 
 
-def optimum_path_clusters(sm: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
-    """(id, root): clusters around density maxima, in two levels: blocks of samples first, then the roots of all blocks, until these fit one block."""
+def optimum_path_clusters(sm: DataFrame, k: int = 5) -> DataFrame:
+    """(id, root): clusters around density maxima, over all samples at once.
+
+    The k nearest of each sample come from the distributed graph; one task climbs it, and holds k numbers for each sample, not
+    its features.  For more samples than a task can climb see `two_level_clusters`.
+    """
+    arcs = samples.knn_graph(sm, k).select("src", "dst", "rank", "w")
+    rows = arcs.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "dst", "w"))), lambda a: F.struct(a["dst"].alias("dst"), a["w"].alias("w"))).alias("near"))
+    alone = sm.select(F.col("id").alias("src")).join(rows, "src", "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("src")
+        ids = pdf["src"].to_numpy()
+        got = [[] if a is None else list(a) for a in pdf["near"]]
+        m = min((len(a) for a in got), default=0)
+        near = np.array([[a["dst"] for a in r[:m]] for r in got], np.int64).reshape(len(ids), m)
+        w = np.array([[a["w"] for a in r[:m]] for r in got], float).reshape(len(ids), m)
+        root, _ = _climbed(ids, np.searchsorted(ids, near), w)
+        return pd.DataFrame({"id": ids, "root": ids[root]})
+
+    return alone.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "id long, root long")
+
+
+def two_level_clusters(sm: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+    """(id, root): clusters of blocks of samples, then of the roots of all blocks, until these fit one block; the blocks show in the result."""
     n = sm.count()
     blocks = max(1, -(-n // block))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        ids = pdf["id"].to_numpy()
-        root, _ = _clusters(ids, np.stack(pdf["feat"].to_numpy()), k)
+        ids, x = pdf["id"].to_numpy(), np.stack(pdf["feat"].to_numpy())
+        root, _ = _climbed(ids, *(_near(x, k) if len(x) > 1 else (np.zeros((1, 0), int), np.zeros((1, 0)))))
         return pd.DataFrame({"id": ids, "root": ids[root]})
 
     first = sm.select("id", "feat", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).groupBy("b").applyInPandas(run, "id long, root long")
@@ -165,7 +191,7 @@ def optimum_path_clusters(sm: DataFrame, k: int = 5, block: int = BLOCK) -> Data
 
     first = cut_lineage(first)
     roots = sm.join(first.select(F.col("root").alias("id")).distinct(), "id", "left_semi")
-    upper = optimum_path_clusters(roots, k, block) if roots.count() < n else first
+    upper = two_level_clusters(roots, k, block) if roots.count() < n else first
     return first.join(upper.select(F.col("id").alias("root"), F.col("root").alias("top")), "root").select("id", F.col("top").alias("root"))
 
 

@@ -292,14 +292,36 @@ def class_centroids(sm: DataFrame, by: str = "truelabel") -> DataFrame:
 
 def k_means(sm: DataFrame, init: DataFrame, rounds: int) -> DataFrame:
     """(c, centre) after `rounds` steps from given centroids; a centroid without samples stays."""
-    centres = init
+    rows = init.select("c", "centre").collect()  # as many rows as centroids
+    names, centre = [r[0] for r in rows], np.array([list(r[1]) for r in rows], float)
+    if not rows:
+        return init
+    order = np.argsort(names, kind="stable")
+    names, centre = [names[k] for k in order], centre[order]
+    k, d = centre.shape
+
+    def sums(at: np.ndarray):
+        def run(batches):
+            total = np.zeros((k, d + 1))
+            for pdf in batches:
+                for part in np.array_split(np.arange(len(pdf)), len(pdf) * k // 4_000_000 + 1):
+                    x = np.stack(pdf["feat"].to_numpy()[part]) if len(part) else np.zeros((0, d))
+                    # equal distances to the ninth digit go to the first centroid
+                    own = np.argmin(np.round((x * x).sum(1)[:, None] - 2 * x @ at.T + (at * at).sum(1)[None], 9), 1)
+                    for c in np.unique(own):
+                        total[c, :d] += x[own == c].sum(0)
+                        total[c, d] += (own == c).sum()
+            yield pd.DataFrame({"i": np.arange(total.size), "x": total.ravel()})
+
+        return run
+
     for _ in range(rounds):
-        moved = class_centroids(nearest_centroid(sm, centres), "group")
-        old = centres.withColumnRenamed("centre", "old")
-        centres = old.join(moved, "c", "left").select("c", F.coalesce("centre", "old").alias("centre"))
-        rows = centres.collect()  # as many rows as centroids
-        centres = sm.sparkSession.createDataFrame(rows, centres.schema)
-    return centres
+        got = sm.select("feat").mapInPandas(sums(centre), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy()
+        if not len(got):
+            break
+        got = got.reshape(k, d + 1)
+        centre = np.where(got[:, d:] > 0, got[:, :d] / np.maximum(got[:, d:], 1), centre)
+    return sm.sparkSession.createDataFrame([(n, c.tolist()) for n, c in zip(names, centre)], init.select("c", "centre").schema)
 
 
 def medoids(grouped: DataFrame, centres: DataFrame) -> DataFrame:

@@ -216,6 +216,11 @@ def _(spark, sf):
     return learners.medoids(sm, first, 2)
 
 
+@query("two_level_clusters")
+def _(spark, sf):
+    return learners.two_level_clusters(T.samples(spark, sf), 5, 100)
+
+
 @query("optimum_path_clusters")
 def _(spark, sf):
     return learners.optimum_path_clusters(T.samples(spark, sf), 5)

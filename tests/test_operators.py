@@ -227,3 +227,44 @@ def test_training_two_layers(spark):
     rows = out.collect()
     assert len(trained) == 2 and len(rows) == 24
     assert {len(r["feat"]) for r in rows} == {len(trained[1].bank)} and len(trained[0].bank) <= 5
+
+
+def test_neighbours_at_equal_distance_go_by_id(spark):
+    """Two hundred copies of a vector: the lowest ids, whatever the blocks."""
+    base = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(200)], "id long, feat array<double>")
+    q = spark.createDataFrame([(1000, [1.0, 2.5])], "id long, feat array<double>")
+    for block in (16, 64, 1000):
+        got = samples.nearest(q, base, 3, block=block).orderBy("rank").collect()
+        assert [r["neighbour"] for r in got] == [0, 1, 2]
+    got = samples.nearest(base, base, 2, block=32).where("id = 7").orderBy("rank").collect()
+    assert [r["neighbour"] for r in got] == [0, 1]
+
+
+def test_components_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(500 + k, 501 + k) for k in range(80)] + [(900, 900)]
+    want = {}
+    for a, b in pairs:
+        for n in (a, b):
+            want.setdefault(n, n)
+    for _ in range(len(want)):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    for parts in (1, 7):
+        df = spark.createDataFrame(pairs, "src long, dst long").repartition(parts)
+        assert {r["node"]: r["component"] for r in graphs.components(df).collect()} == want
+    text = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "src string, dst string")
+    assert {r["node"]: r["component"] for r in graphs.components(text).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+def test_running_moments_by_block(spark):
+    from pyspark.sql import functions as F
+
+    from graticule.streaming import running
+
+    rows = [(k, k % 2, k // 7, float(k * k % 11) if k % 5 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, user long, day long, value double")
+    plain = {r["id"]: (r["rm"], r["rv"]) for r in running.running_moments(df, "user", ["id"], "value").collect()}
+    for r in running.running_moments(df, "user", ["id"], "value", F.col("day")).collect():
+        a, b = plain[r["id"]]
+        assert (a is None and r["rm"] is None) or (abs(a - r["rm"]) < 1e-9 and abs(b - r["rv"]) < 1e-9)

@@ -137,7 +137,8 @@ def test_optimum_path_clusters(spark):
     found = learners.optimum_path_clusters(sm, 6).collect()
     assert len(found) == 60 and all(truth[r["id"]] == truth[r["root"]] for r in found)
     assert len({r["root"] for r in found}) < 30
-    joined = {r["id"]: r["root"] for r in learners.optimum_path_clusters(sm, 6, 25).collect()}
+    assert sorted(found) == sorted(learners.two_level_clusters(sm, 6, 1000).collect())  # one block is all of them
+    joined = {r["id"]: r["root"] for r in learners.two_level_clusters(sm, 6, 25).collect()}
     assert joined.keys() == truth.keys() and all(joined[r] == r for r in set(joined.values()))
 
 
