@@ -1,6 +1,7 @@
 """Exact substring removal with suffix arrays by linear grouping.
 
-Every `width`-byte string holds at least one anchor: the least hash among its `GRAM`-byte strings, a choice that
+Strings count as equal if 128-bit hashes of them, or of all bytes around their anchor that they could lie in, are equal; where
+that is not so, bytes are compared.  Every `width`-byte string holds at least one anchor: the least hash among its `GRAM`-byte strings, a choice that
 depends on those bytes alone.  Equal strings hold equal anchors at equal places, so only places around one anchor are
 ever compared.
 
@@ -13,7 +14,7 @@ ever compared.
 
 A group too large for one task is instead settled by counting the hashes of its strings, dealt by hash.
 
-Edge cases: null texts are empty; texts shorter than `width` lose nothing; repeated rows of one id and text
+Edge cases: null texts are empty; texts shorter than `width` lose nothing; rows are told apart by 128 bits of hashes of id and text; repeated rows of one id and text
 are documents of their own; texts of any length are read in overlapping pieces; ties of the least hash are all anchors; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -42,8 +43,8 @@ TOGETHER = 1_500
 PART_BYTES, BUCKET_ANCHORS, BUCKET_REACHES = 12 << 20, 600_000, 20_000
 
 _RNG = np.random.default_rng(20)
-CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
-BASE = 0x9E3779B97F4A7C15 | 1
+CODES, MORE_CODES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+BASE, MORE_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -55,24 +56,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Polynomial hashes of any substring of some bytes, modulo 2 ** 64 over random codes of bytes."""
+    """Polynomial hashes of any substring of some bytes, modulo 2 ** 64 over random codes of bytes; `more` gives others of the same kind."""
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _powers: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, raw: np.ndarray):
+    def __init__(self, raw: np.ndarray, more: bool = False):
         n = len(raw)
-        size = 1 << max(16, (n + 1).bit_length())
-        if size not in self._powers:
-            self._powers.clear()
+        size, base = 1 << max(16, (n + 1).bit_length()), MORE_BASE if more else BASE
+        if self._powers.get(base, (0,))[0] != size:
             both = []
-            for b in (BASE, pow(BASE, -1, 1 << 64)):
+            for b in (base, pow(base, -1, 1 << 64)):
                 p = np.full(size, b, np.uint64)
                 p[0] = 1
                 both.append(np.cumprod(p))
-            self._powers[size] = tuple(both)
-        up, self.down = self._powers[size]
+            self._powers[base] = size, *both
+        _, up, self.down = self._powers[base]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(CODES[raw] * up[:n], out=self.sums[1:])
+        np.cumsum((MORE_CODES if more else CODES)[raw] * up[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
@@ -117,22 +117,23 @@ def anchors(raw: np.ndarray, first: np.ndarray, width: int):
     return (at, h[at], np.maximum(runs[own], at - reach + 1), np.minimum(last[own], at)), hashes
 
 
-def _reaches(found, hashes: Hashes, width: int):
-    """(position, anchor, bytes of its reach to the left, to the right, hash of the reach)."""
+def _reaches(found, hashes: Hashes, raw: np.ndarray, width: int):
+    """(position, anchor, bytes of its reach to the left, to the right, two hashes of the reach)."""
     at, h, low, high = found
     left, right = at - low, high + width - at - GRAM
-    full = hashes.of(low, high + width) ^ (left.astype(np.uint64) * np.uint64(BASE))
-    return at, h, left.astype(np.uint16), right.astype(np.uint16), full
+    place = left.astype(np.uint64) * np.uint64(BASE)
+    full, more = (x.of(low, high + width) ^ place if len(at) else np.zeros(0, np.uint64) for x in (hashes, Hashes(raw, more=True)))
+    return at, h, left.astype(np.uint16), right.astype(np.uint16), full, more
 
 
 def _places(texts: list[bytes], width: int):
-    """(text number, position, anchor, left, right, hash of its reach) of all anchors, piece by piece."""
+    """(text number, position, anchor, left, right, hashes of its reach) of all anchors, piece by piece."""
     batch, numbers, size = [], [], 0
 
     def flush():
         first = np.concatenate(([0], np.cumsum([len(t) for t in batch])))
-        found, hashes = anchors(np.frombuffer(b"".join(batch), np.uint8), first, width)
-        at, *rest = _reaches(found, hashes, width)
+        raw = np.frombuffer(b"".join(batch), np.uint8)
+        at, *rest = _reaches(*anchors(raw, first, width), raw, width)
         own = np.searchsorted(first, at, side="right") - 1
         return np.array(numbers, np.int64)[own], at - first[own], *rest
 
@@ -142,7 +143,7 @@ def _places(texts: list[bytes], width: int):
         if len(t) > PIECE:  # strings that start in each piece
             for at in range(0, len(t) - width + 1, PIECE):
                 span = np.frombuffer(t, np.uint8)[at : at + PIECE + width - 1]
-                place, *rest = _reaches(*anchors(span, np.array([0, len(span)]), width), width)
+                place, *rest = _reaches(*anchors(span, np.array([0, len(span)]), width), span, width)
                 yield np.full(len(place), k), place + at, *rest
             continue
         if size + len(t) > PIECE and batch:
@@ -156,7 +157,7 @@ def _places(texts: list[bytes], width: int):
 
 
 #: What is known of an anchor, as arrays of bytes.
-PLACE = {"key": np.int64, "at": np.int64, "left": np.uint16, "right": np.uint16, "a": np.uint64}
+PLACE = {"key": np.int64, "key2": np.int64, "at": np.int64, "left": np.uint16, "right": np.uint16, "a": np.uint64}
 
 
 def _columns(table: pa.Table, kinds: dict) -> list[np.ndarray]:
@@ -164,12 +165,14 @@ def _columns(table: pa.Table, kinds: dict) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(table.column(n).to_pylist()), t) for n, t in kinds.items()]
 
 
-def _split(order: np.ndarray, keys: np.ndarray):
-    """(key, positions) of each run of equal keys, given their sorting order."""
-    cuts = np.flatnonzero(np.diff(keys[order])) + 1
+def _split(*keys: np.ndarray):
+    """(key, positions) of each run of equal keys, a number or, of several arrays, a tuple of them."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    cuts = np.flatnonzero(np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)) + 1 if len(order) else []
     for run in np.split(order, cuts):
         if len(run):
-            yield int(keys[run[0]]), run
+            own = tuple(int(k[run[0]]) for k in keys)
+            yield own if len(keys) > 1 else own[0], run
 
 
 def _paths(groups: np.ndarray, texts: list[bytes], numbers: int):
@@ -277,7 +280,7 @@ def together(groups: np.ndarray):
 
 def spans(docs: DataFrame, width: int = 200) -> tuple:
     """Keyed documents (part, key, doc_id, text), sifted anchors, and the other repeats (part, key, start, end)."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"key": F.xxhash64("doc_id", "text"), "key2": F.xxhash64("text", F.lit(7), "doc_id")})
     volume = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()[0]
     parts, buckets = max(16, -(-volume // PART_BYTES)), max(16, -(-volume // (60 * BUCKET_ANCHORS)))
     keyed = keyed.withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
@@ -285,24 +288,25 @@ def spans(docs: DataFrame, width: int = 200) -> tuple:
     def file(batches):
         for batch in batches:
             for slice_ in common.small_slices(batch, 16 << 20):
-                keys = slice_.column(0).to_numpy()
-                found = list(_places([common.utf8(t.as_py()) for t in slice_.column(1)], width))
+                keys, more = slice_.column(0).to_numpy(), slice_.column(1).to_numpy()
+                found = list(_places([common.utf8(t.as_py()) for t in slice_.column(2)], width))
                 if not found:
                     continue
-                own, at, a, left, right, c = (np.concatenate(x) for x in zip(*found))
+                own, at, a, left, right, c, c2 = (np.concatenate(x) for x in zip(*found))
                 bucket = (a >> np.uint64(8)) % np.uint64(buckets)
-                for b, run in _split(np.argsort(bucket, kind="stable"), bucket):
-                    blobs = (keys[own[run]], at[run].astype(np.int64), left[run], right[run], a[run], c[run])
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip((*PLACE, "c"), blobs)}})
+                for b, run in _split(bucket):
+                    blobs = (keys[own[run]], more[own[run]], at[run].astype(np.int64), left[run], right[run], a[run], c[run], c2[run])
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip((*PLACE, "c", "c2"), blobs)}})
 
     place = ", ".join(f"{n} binary" for n in PLACE)
-    filed = keyed.select("key", "text").mapInArrow(file, f"bucket int, {place}, c binary")
+    filed = keyed.select("key", "key2", "text").mapInArrow(file, f"bucket int, {place}, c binary, c2 binary")
 
     def sift(table: pa.Table) -> pa.Table:
-        columns = _columns(table, PLACE | {"c": np.uint64})
-        key, at, left, right, a, c = (x[np.lexsort((columns[1], columns[0], columns[5], columns[4]))] for x in columns)
+        columns = _columns(table, PLACE | {"c": np.uint64, "c2": np.uint64})
+        order = np.lexsort((columns[2], columns[1], columns[0], columns[7], columns[6], columns[5]))
+        key, key2, at, left, right, a, c, c2 = (x[order] for x in columns)
         new_a = np.concatenate(([True], a[1:] != a[:-1]))
-        new_c = new_a | np.concatenate(([True], c[1:] != c[:-1]))
+        new_c = new_a | np.concatenate(([True], (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])))
         of_a, of_c = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
         n_c = np.bincount(of_c)  # rows of each reach
         kinds = np.bincount(of_a[new_c])  # reaches of each anchor
@@ -314,9 +318,9 @@ def spans(docs: DataFrame, width: int = 200) -> tuple:
         keep = status >= 0
         part = key[keep] % parts  # as pmod: Python and numpy round down
         rows = {n: [] for n in ("part", *PLACE, "status")}
-        for p, run in _split(np.argsort(part, kind="stable"), part):
+        for p, run in _split(part):
             rows["part"].append(p)
-            for n, x in zip((*PLACE, "status"), (key, at, left, right, a, status.astype(np.int8))):
+            for n, x in zip((*PLACE, "status"), (key, key2, at, left, right, a, status.astype(np.int8))):
                 rows[n].append(x[keep][run].tobytes())
         kinds_ = {"part": pa.int32()}
         return pa.table({n: pa.array(x, kinds_.get(n, pa.binary())) for n, x in rows.items()})
@@ -325,39 +329,40 @@ def spans(docs: DataFrame, width: int = 200) -> tuple:
 
     def fetch(texts: pa.Table, wanted: pa.Table) -> pa.Table:
         columns = _columns(wanted, PLACE | {"status": np.int8})
-        key, at, before, after, a, status = (x[columns[5] > 0] for x in columns)
-        place = {k: r for r, k in enumerate(texts.column("key").to_pylist())}
-        out = {n: [] for n in ("a", "key", "at", "status", "left", "right")}
+        key, key2, at, before, after, a, status = (x[columns[6] > 0] for x in columns)
+        place = {k: r for r, k in enumerate(zip(texts.column("key").to_pylist(), texts.column("key2").to_pylist()))}
+        out = {n: [] for n in ("a", "key", "key2", "at", "status", "left", "right")}
         column = texts.column("text")
-        for k, run in _split(np.argsort(key, kind="stable"), key):
+        for k, run in _split(key, key2):
             raw = common.utf8(column[place[k]].as_py())
             for r in run:
                 p = int(at[r])
                 out["left"].append(raw[p - int(before[r]) : p])
                 out["right"].append(raw[p + GRAM : p + GRAM + int(after[r])])
-            out["key"].append(np.full(len(run), k))
+            out["key"].append(np.full(len(run), k[0]))
+            out["key2"].append(np.full(len(run), k[1]))
             out["at"].append(at[run])
             out["a"].append(a[run].view(np.int64))
             out["status"].append(status[run])
-        flat = {n: pa.array(np.concatenate(out[n]) if out[n] else np.zeros(0, t), pa.from_numpy_dtype(t)) for n, t in (("a", np.int64), ("key", np.int64), ("at", np.int64), ("status", np.int8))}
+        flat = {n: pa.array(np.concatenate(out[n]) if out[n] else np.zeros(0, t), pa.from_numpy_dtype(t)) for n, t in (("a", np.int64), ("key", np.int64), ("key2", np.int64), ("at", np.int64), ("status", np.int8))}
         return pa.table(flat | {n: pa.array(out[n], pa.binary()) for n in ("left", "right")})
 
-    texts = keyed.select("part", "key", "text")
-    reaches = texts.groupBy("part").cogroup(sifted.groupBy("part")).applyInArrow(fetch, "a long, key long, at long, status byte, left binary, right binary")
+    texts = keyed.select("part", "key", "key2", "text")
+    reaches = texts.groupBy("part").cogroup(sifted.groupBy("part")).applyInArrow(fetch, "a long, key long, key2 long, at long, status byte, left binary, right binary")
     reaches = common.stored(reaches, "reaches")
     kinds = {r[0]: r[1] for r in reaches.groupBy((F.col("status") > 2).alias("hot")).count().collect()}
     n_buckets = max(16, -(-kinds.get(False, 0) // BUCKET_REACHES))
 
     def compare(table: pa.Table) -> pa.Table:
-        key, at, a, single = (table.column(n).to_numpy() for n in ("key", "at", "a", "status"))
+        key, key2, at, a, single = (table.column(n).to_numpy() for n in ("key", "key2", "at", "a", "status"))
         left, right, found = table.column("left"), table.column("right"), []
         for rows in together(a):
             k, before, after = repeats(a[rows], left.take(pa.array(rows)).to_pylist(), right.take(pa.array(rows)).to_pylist(), single[rows] == 1, width)
             k = rows[k]
-            found.append(((key[k] % parts).astype(np.int32), key[k], at[k] - before, at[k] + GRAM + after))
-        return pa.table(dict(zip(("part", "key", "start", "end"), (np.concatenate(x) for x in zip(*found)))))
+            found.append(((key[k] % parts).astype(np.int32), key[k], key2[k], at[k] - before, at[k] + GRAM + after))
+        return pa.table(dict(zip(("part", "key", "key2", "start", "end"), (np.concatenate(x) for x in zip(*found)))))
 
-    shape = "part int, key long, start long, end long"
+    shape = "part int, key long, key2 long, start long, end long"
     near = reaches.where("status < 3").withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(n_buckets)))
     found = near.groupBy("bucket").applyInArrow(compare, shape)
     if kinds.get(True):
@@ -373,16 +378,16 @@ def _counted(reaches: DataFrame, width: int, parts: int, shape: str) -> DataFram
             for r in batch.to_pylist():
                 lo = r["at"] - len(r["left"])
                 raw = r["left"] + b"\0" * GRAM + r["right"]  # the anchor is the group's and goes into the hash by `a`
-                h = Hashes(np.frombuffer(raw, np.uint8)).grams(width) if len(raw) >= width else np.zeros(0, np.uint64)
+                h, h2 = (Hashes(np.frombuffer(raw, np.uint8), more).grams(width) if len(raw) >= width else np.zeros(0, np.uint64) for more in (False, True))
                 start = lo + np.arange(len(h))
                 yield pa.RecordBatch.from_pydict({
-                    "a": np.full(len(h), r["a"]), "h": h.view(np.int64), "part": np.full(len(h), r["key"] % parts, np.int32),
-                    "key": np.full(len(h), r["key"]), "start": start, "end": start + width, "off": r["at"] - start,
+                    "a": np.full(len(h), r["a"]), "h": h.view(np.int64), "h2": h2.view(np.int64), "part": np.full(len(h), r["key"] % parts, np.int32),
+                    "key": np.full(len(h), r["key"]), "key2": np.full(len(h), r["key2"]), "start": start, "end": start + width, "off": r["at"] - start,
                 })
 
-    rows = reaches.mapInArrow(strings, f"a long, h long, {shape}, off long")
-    twice = rows.groupBy("a", "h", "off").agg(F.count("*").alias("n")).where("n > 1").select("a", "h", "off")
-    return rows.join(twice, ["a", "h", "off"], "left_semi").select("part", "key", "start", "end")
+    rows = reaches.mapInArrow(strings, f"a long, h long, h2 long, {shape}, off long")
+    twice = rows.groupBy("a", "h", "h2", "off").agg(F.count("*").alias("n")).where("n > 1").select("a", "h", "h2", "off")
+    return rows.join(twice, ["a", "h", "h2", "off"], "left_semi").select("part", "key", "key2", "start", "end")
 
 
 def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
@@ -390,23 +395,22 @@ def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
     keyed, sifted, found = spans(docs, width)
 
     def blobs(table: pa.Table) -> pa.Table:
-        return pa.table({"part": table.column("part").slice(0, 1), **{n: pa.array([table.column(n).to_numpy().tobytes()], pa.binary()) for n in ("key", "start", "end")}})
+        return pa.table({"part": table.column("part").slice(0, 1), **{n: pa.array([table.column(n).to_numpy().tobytes()], pa.binary()) for n in ("key", "key2", "start", "end")}})
 
     none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
     sure = sifted.select("part", *PLACE, "status", *none("start", "end"))
-    more = found.groupBy("part").applyInArrow(blobs, "part int, key binary, start binary, end binary")
-    covered = sure.unionByName(more.select("part", "key", *none("at", "left", "right", "a", "status"), "start", "end"))
+    more = found.groupBy("part").applyInArrow(blobs, "part int, key binary, key2 binary, start binary, end binary")
+    covered = sure.unionByName(more.select("part", "key", "key2", *none("at", "left", "right", "a", "status"), "start", "end"))
 
     def cut(texts: pa.Table, table: pa.Table) -> pa.Table:
         anchored = table.column("status").is_valid()
         columns = _columns(table.filter(anchored), PLACE | {"status": np.int8})
-        key, at, left, right = (x[np.isin(columns[5], (0, 2, 4))].astype(np.int64) for x in columns[:4])
-        key2, start, end = _columns(table.filter(pa.compute.invert(anchored)), {"key": np.int64, "start": np.int64, "end": np.int64})
-        keys = np.concatenate((key, key2))
+        key, key2, at, left, right = (x[np.isin(columns[6], (0, 2, 4))].astype(np.int64) for x in columns[:5])
+        other, other2, start, end = _columns(table.filter(pa.compute.invert(anchored)), {"key": np.int64, "key2": np.int64, "start": np.int64, "end": np.int64})
         starts, ends = np.concatenate((at - left, start)), np.concatenate((at + GRAM + right, end))
-        of = dict(_split(np.argsort(keys, kind="stable"), keys))
+        of = dict(_split(np.concatenate((key, other)), np.concatenate((key2, other2))))
         out = {n: [] for n in ("kept", "n_bytes", "n_removed", "n_spans")}
-        for k, t in zip(texts.column("key").to_pylist(), texts.column("text")):
+        for k, t in zip(zip(texts.column("key").to_pylist(), texts.column("key2").to_pylist()), texts.column("text")):
             raw = common.utf8(t.as_py())
             run, pieces, done, gone, n = of.get(k), [], 0, 0, 0
             if run is not None:
@@ -423,7 +427,7 @@ def without_repeats(docs: DataFrame, width: int = 200) -> DataFrame:
             out["n_spans"].append(n)
         return pa.table({"doc_id": texts.column("doc_id"), "kept": pa.array(out["kept"], pa.binary()), **{n: pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")}})
 
-    texts = keyed.select("part", "key", "doc_id", "text")
+    texts = keyed.select("part", "key", "key2", "doc_id", "text")
     return texts.groupBy("part").cogroup(covered.groupBy("part")).applyInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 

@@ -115,3 +115,26 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, text), (1, text), (2, None), (2, "short"), (None, text)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in substrings.without_repeats(df).collect())
     assert got == [(0, len(text.encode())), (1, len(text.encode())), (1, len(text.encode())), (2, 0), (2, 0)]
+
+
+def test_one_line_in_every_document(docs):
+    """A line of 230 bytes in 400 texts, in surroundings of their own."""
+    rnd = random.Random(7)
+    line = "".join(rnd.choice("abcdef ") for _ in range(230))
+    texts = ["".join(rnd.choice("ghijkl ") for _ in range(rnd.randrange(150))) + line + "".join(rnd.choice("mnop ") for _ in range(rnd.randrange(150))) for _ in range(400)]
+    assert run(docs, texts) == brute(texts)
+
+
+def test_more_surroundings_than_one_task_compares(docs):
+    """Forty thousand of them, so that strings are counted."""
+    rnd = random.Random(8)
+    line = "".join(rnd.choice("abcdef ") for _ in range(208))
+    texts = [f"{rnd.randrange(10**9):09d}{line}{rnd.randrange(10**9):09d}" for _ in range(40_000)]
+    assert substrings.HOT < len(texts)
+    assert run(docs, texts) == brute(texts)
+
+
+def test_rows_are_told_apart_by_both_keys():
+    a, b = np.array([1, 1, 2, 1]), np.array([5, 6, 5, 5])
+    assert {k: v.tolist() for k, v in substrings._split(a, b)} == {(1, 5): [0, 3], (1, 6): [1], (2, 5): [2]}
+    assert list(substrings._split(np.zeros(0, int), np.zeros(0, int))) == []
