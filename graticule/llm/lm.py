@@ -26,6 +26,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -100,10 +101,16 @@ class Subwords:
         return ids, np.diff(np.append(at, len(ids)))
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        n = self[word] = len(self)
-        return n
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(word numbers of all texts end to end, how many each text has, the words by their numbers): A-Z lower-cased, cut at ASCII white space."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    words = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0]))
+    some = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves an empty word
+    before = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))
+    coded = words.filter(some).dictionary_encode()
+    size = np.diff(before[ends - ends[0]]).astype(np.int32)
+    return coded.indices.to_numpy().astype(np.uint32), size, coded.dictionary.cast(pa.binary()).to_pylist()
 
 
 BLOCK = "block long, doc_id array<long>, held array<boolean>, size array<int>, words binary, hash binary, count binary, subs binary, lens binary"
@@ -114,17 +121,12 @@ def blocks(docs: DataFrame, subwords: Subwords) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(subwords)
 
     def make(block, ids, held, texts):
-        numbers, rows = _Numbers(), []
-        for t in texts:
-            found = common.space_words(common.utf8(t.as_py()).lower())
-            rows.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
-        words = list(numbers)
+        flat, size, words = numbered(texts)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
         order = np.argsort(hashes)
         place = np.empty(len(words), np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
-        flat = place[np.concatenate(rows)] if words else np.zeros(0, np.uint32)
-        size = np.array([len(r) for r in rows], np.int32)
+        flat = place[flat]
         train = np.repeat(~held, size)
         count = np.bincount(flat[train], minlength=len(words)).astype(np.uint32)
         pieces, lens = shared.value.of([words[k] for k in order.tolist()])
@@ -142,8 +144,6 @@ def blocks(docs: DataFrame, subwords: Subwords) -> DataFrame:
                 block += 1
                 row = make(block, part.column(0).to_pylist(), part.column(2).to_numpy(zero_copy_only=False).astype(bool), part.column(1))
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in row.items()})
-                del row, part
-                common.give_back(collect=False)
         shared.value.rest()
         common.give_back()
 
