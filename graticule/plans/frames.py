@@ -96,14 +96,20 @@ def _(spark, sf):
     return R.nearest_value(_px(spark, sf), _points(spark, sf), 64, 64)
 
 
-@query("picture_rotated", f"WITH {PX} SELECT 63 - y AS x, x AS y, val FROM px WHERE y < 64")
+def _height(px) -> int:
+    return px.agg(F.max("y")).first()[0] + 1
+
+
+@query("picture_rotated", f"WITH {PX}, h AS (SELECT max(y) AS h FROM px) SELECT h - y AS x, x AS y, val FROM px, h")
 def _(spark, sf):
-    return R.rotated(_px(spark, sf).where("y < 64"), 64, 64, 90.0)
+    px = _px(spark, sf)
+    return R.rotated(px, 64, _height(px), 90.0)
 
 
-@query("picture_scaled", f"WITH {PX}, n AS (SELECT a.x AS x, b.y AS y FROM range(0, 32) a(x), range(0, 32) b(y)) SELECT n.x, n.y, val FROM n JOIN px p ON p.x = 2 * n.x AND p.y = 2 * n.y")
+@query("picture_scaled", f"WITH {PX}, n AS (SELECT a.x AS x, b.y AS y FROM range(0, 32) a(x), range(0, 100000) b(y)) SELECT n.x, n.y, val FROM n JOIN px p ON p.x = 2 * n.x AND p.y = 2 * n.y")
 def _(spark, sf):
-    return R.scaled(_px(spark, sf).where("y < 64"), 64, 64, 0.5, 0.5)
+    px = _px(spark, sf)
+    return R.scaled(px, 64, _height(px), 0.5, 0.5)
 
 
 @query("picture_profile", f"WITH {PX}, k AS (SELECT k, 2 + k AS x, CAST(round(round(5 + k * 20 / 40.0, 9)) AS BIGINT) AS y FROM range(0, 41) t(k)) SELECT k, x, y, val FROM k JOIN px USING (x, y)")
@@ -111,9 +117,9 @@ def _(spark, sf):
     return R.profile(_px(spark, sf), (2, 5), (42, 25))
 
 
-@query("line_spectrum", f"WITH {PX}, k AS (SELECT k FROM range(0, 64) t(k)) SELECT y, k, round(sum(val * cos(2 * pi() * ((k * x) % 64) / 64)), 3) + 0.0 AS re, round(-sum(val * sin(2 * pi() * ((k * x) % 64) / 64)), 3) + 0.0 AS im FROM px, k WHERE y < 20 GROUP BY y, k")
+@query("line_spectrum", f"WITH {PX}, k AS (SELECT k FROM range(0, 64) t(k)) SELECT y, k, round(sum(val * cos(2 * pi() * ((k * x) % 64) / 64)), 3) + 0.0 AS re, round(-sum(val * sin(2 * pi() * ((k * x) % 64) / 64)), 3) + 0.0 AS im FROM px, k GROUP BY y, k")
 def _(spark, sf):
-    got = R.line_spectrum(T.scanlines(spark, sf).where("y < 20"))
+    got = R.line_spectrum(T.scanlines(spark, sf))
     cells = got.select("y", F.posexplode(F.arrays_zip("re", "im")).alias("k", "c"))
     return cells.select("y", F.col("k").cast("long").alias("k"), (F.round("c.re", 3) + 0.0).alias("re"), (F.round("c.im", 3) + 0.0).alias("im"))
 
