@@ -11,6 +11,7 @@ from graticule.functions import maths as M
 from graticule.functions import scalars as S
 from graticule.functions import texts as X
 from graticule.operators import frames as R
+from graticule.operators import image_layers as IL
 from graticule.operators import shapes as Z
 
 
@@ -192,3 +193,62 @@ def test_paths_and_durations(spark):
     assert one(spark, X.joined_path(F.lit("/a/"), F.lit("/b"), F.lit("c")), X.absolute(F.lit("../x/./y"), "/u/v"), X.absolute(F.lit("/a//b/"), "/u")) == ("/a/b/c", "/u/x/y", "/a/b")
     assert one(spark, X.duration(F.lit(90_061_001.0)), X.duration(F.lit(0.25)), X.duration(F.lit(3_600_000.0))) == ("1 day(s) 1 hour(s) 1 min(s) 1 sec(s) 1 ms", "0.250000 ms", "1 hour(s) ")
     assert one(spark, *X.colour_of_hex(F.lit("#0aFF10"))) == (10, 255, 16) and one(spark, X.colour_of_hex(F.lit("0aFF10"))[0]) == (None,)
+
+
+# --- layers on images
+
+
+def plain_layer(x, mean, stdev, taps, bank):
+    z = (x - mean) / stdev
+    h, w, b = x.shape
+    out = np.zeros((h, w, len(bank)))
+    for y, xx in itertools.product(range(h), range(w)):
+        patch = [z[y + dy, xx + dx] if 0 <= y + dy < h and 0 <= xx + dx < w else np.zeros(b) for dx, dy in taps]
+        out[y, xx] = np.maximum(bank @ np.concatenate(patch), 0)
+    return out
+
+
+def test_image_layer_against_plain_computation(spark):
+    rng = np.random.default_rng(7)
+    x, taps = rng.normal(size=(11, 6, 2)), [(0, 0), (1, 0), (-2, 1), (0, -2)]
+    mean, stdev, bank = rng.normal(size=2), np.array([0.5, 2.0]), rng.normal(size=(3, 8))
+    df = lines(spark, x.reshape(11, -1))
+    want = plain_layer(x, mean, stdev, taps, bank)
+    ring = [(0, 0), (1, 0), (0, 1), (-1, -1)]
+    for band in (4, 256):
+        got = IL.convolved(df, mean, stdev, taps, bank, band=band)
+        assert np.allclose(back(got), want.reshape(11, -1))
+        top = back(IL.pooled(got, 3, "max_pool", ring, 2, band)).reshape(6, 3, 3)
+        mean_ = back(IL.pooled(got, 3, "avg_pool", ring, 1, band)).reshape(11, 6, 3)
+        for y, xx in itertools.product(range(11), range(6)):
+            near = [want[y + dy, xx + dx] for dx, dy in ring if 0 <= y + dy < 11 and 0 <= xx + dx < 6]
+            assert np.allclose(mean_[y, xx], np.sum(near, 0) / 4)
+            if y % 2 == 0 and xx % 2 == 0:
+                assert np.allclose(top[y // 2, xx // 2], np.max(near, 0))
+    px = IL.to_pixels(df, 2)
+    assert px.count() == 66 and np.allclose(back(IL.from_pixels(px)), x.reshape(11, -1))
+
+
+def test_image_layers_learn_from_markers(spark):
+    from graticule.sources.formats import Architecture, Layer
+
+    rng = np.random.default_rng(8)
+    a = rng.normal(0, 0.1, (24, 20))
+    a[:, 10:] += 3
+    df = lines(spark, a, "p").unionByName(lines(spark, a[::-1], "q"))
+    seeds = [(i, x, y, m) for i in "pq" for m, xs in ((1, (2, 3, 4)), (2, (14, 15, 16))) for x in xs for y in (5, 6, 7)]
+    markers = spark.createDataFrame(seeds, "image string, x int, y int, marker long")
+    arch = Architecture(0.01, [Layer(kernels_per_marker=2, channels=6, pool="max_pool", stride=2), Layer(kernels_per_marker=2, channels=4)])
+    for by_axes in (False, True):
+        trained, out = IL.train(df, 1, markers, arch, by_axes)
+        got = IL.to_pixels(out, len(trained[-1].bank)).where("image = 'p'").collect()
+        assert len(trained) == 2 and len(got) == 12 * 10 and len(trained[0].bank) <= 6
+        if not by_axes:  # the two halves differ in what they activate
+            halves = [np.mean([r["feat"] for r in got if (r["x"] < 4) == left], 0) for left in (True, False)]
+            assert np.abs(halves[0] - halves[1]).max() > 0.1
+        again = IL.extract(df, trained)
+        assert np.allclose(back(again.where("image = 'p'")), back(out.where("image = 'p'")))
+    wide, out = IL.train(df, 1, markers, Architecture(0.01, arch.layers, atrous=True))
+    assert back(out.where("image = 'q'")).shape == (24, 20 * len(wide[-1].bank)) and wide[1].taps[1][0] in (-2, 2)
+    grey = IL.activations(out, len(wide[-1].bank), 0).agg(F.min("val"), F.max("val")).first()
+    assert tuple(grey) == (0, 255) and IL.batch_size(1000.0, 20, 24, wide) > 1
