@@ -92,11 +92,10 @@ class Attention:
         """What each place of a window attends to."""
         w = q @ k.transpose(0, 2, 1)
         w += add
-        # beside the weight of the place itself, which is always seen
-        w -= np.einsum("bss->bs", w[:, :, self.back :])[:, :, None].copy()
-        np.exp(np.minimum(w, 40, out=w), out=w)
-        w *= visible[:, None, :]
-        w /= w.sum(2, keepdims=True)
+        np.exp(np.minimum(w, 60, out=w), out=w)
+        if not visible.all():
+            w *= visible[:, None, :]
+        w /= np.maximum(np.einsum("bst->bs", w), 1e-30)[:, :, None]
         return w
 
     def score(self, lexicon: Lexicon, last: np.ndarray, target: np.ndarray, first: np.ndarray, size: np.ndarray, log_z: np.ndarray, batch: int = 96) -> np.ndarray:
@@ -165,7 +164,7 @@ class Attention:
         dc[on] = dz @ self.out.T
         ds = dc @ vi.transpose(0, 2, 1)
         dv = w.transpose(0, 2, 1) @ dc
-        ds -= (ds * w).sum(2, keepdims=True)
+        ds -= np.einsum("bst,bst->bs", ds, w)[:, :, None]
         ds *= w
         grad["bias"] = np.bincount(np.maximum(gap, 0).ravel(), (ds.sum(0) * (gap >= 0)).ravel(), len(self.bias)).astype(dz.dtype)
         h = k.shape[1]

@@ -381,7 +381,7 @@ def train(table: DataFrame, rows: np.ndarray, tasks: int, n_windows: int, least_
                         part = min(1.0, step / planned)
                         optimiser.step(grad, (rate + (after - rate) * part) * min(1.0, step / 10) * min(1.0, 4 * len(pick) / batch))
                     a = stop
-                common.give_back()
+            common.give_back()
             weight = np.concatenate((np.repeat(often, own.spell.shape[1]), np.full(own.count() - own.spell.size, float(words))))
             yield from _parts(np.concatenate(((_flat(own) - _flat(start)) * weight, often, [words])))
 
