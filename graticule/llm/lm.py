@@ -47,6 +47,8 @@ TASK_BLOCKS = 8
 SLOTS = 1 << 18
 #: Shares of the windows that the rounds of training take, and their rates.
 ROUNDS = ((1 / 8, 0.02), (3 / 8, 0.02), (1 / 2, 0.01))
+#: Windows that stay together when a block's are shuffled.
+RUN = 8
 #: Words that a block's training texts hold at most so often tell how words are spelled.
 RARE = 3
 
@@ -334,6 +336,13 @@ def _set(model: Attention, flat: np.ndarray) -> None:
         at += old.size
 
 
+def shuffled(n: int, block: int, epoch: int) -> np.ndarray:
+    """The windows of a block in the order of an epoch: runs of RUN that follow one another, shuffled, so that a step meets fewer different words."""
+    first = np.random.default_rng([block, epoch]).permutation(-(-n // RUN)) * RUN
+    order = (first[:, None] + np.arange(RUN)).ravel()
+    return order[order < n]
+
+
 def train(table: DataFrame, rows: np.ndarray, tasks: int, n_windows: int, least_windows: int = 80_000, batch: int = 256, most_epochs: int = 6) -> Attention:
     """A model fitted by all training windows of all blocks; rows: the row of each subword, the last one the end's.
 
@@ -371,7 +380,7 @@ def train(table: DataFrame, rows: np.ndarray, tasks: int, n_windows: int, least_
                 while a < b:  # each epoch in an order of its own
                     epoch = a // n
                     stop = min(b, (epoch + 1) * n)
-                    order = np.random.default_rng([row["block"], epoch]).permutation(n)[a - epoch * n : stop - epoch * n]
+                    order = shuffled(n, row["block"], epoch)[a - epoch * n : stop - epoch * n]
                     for at in range(0, len(order), batch):
                         pick = order[at : at + batch]
                         _, grad, used = own.gradient(block.lexicon, last, target, begin[pick], lo[pick], hi[pick])
@@ -477,7 +486,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         base, some = np.log10((c + 0.1) / (n + 0.1 * (v + 1))), scorer.words(own, c)
         size = own.size
         out = {k: [] for k in ("n_known", "base_score", "score")}
-        step, a = 60_000, 0
+        step, a = 24_000, 0
         ends_at = np.cumsum(size + 1)
         while a < len(size):  # some texts at a time, one at least
             b = max(a + 1, int(np.searchsorted(ends_at, (ends_at[a - 1] if a else 0) + step, side="right")))

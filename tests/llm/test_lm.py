@@ -58,7 +58,7 @@ def test_every_training_window_is_used_once(spark, sf, monkeypatch):
             block = lm._Block(row, rows)
             _, _, first, size = block.stream(np.flatnonzero(~np.array(row["held"])))
             n = len(model.windows(first, size)[0])
-            order = np.random.default_rng([row["block"], 0]).permutation(n)
+            order = lm.shuffled(n, row["block"], 0)
             seen.update((row["block"], int(k)) for k in order[round(low * n) : round((low + share) * n)])
         low += share
     assert set(seen.values()) == {1} and low == 1.0
