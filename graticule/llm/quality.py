@@ -5,7 +5,7 @@ probabilities given the hidden quality from the counts of vote patterns over all
 posteriors of a bounded sample then train a linear scorer on hashed features, which scores every whole text.
 
 Edge cases: null and empty texts get no vote but the length labeller's, and are scored like any other; repeated rows vote and are scored
-alike; an empty table gives an empty result; other columns are ignored.
+alike; of several texts of one id the least one is fitted on, and all are scored; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def votes(text: bytes) -> list[int]:
 
 
 def hashed(text: bytes) -> np.ndarray:
-    """Hashed features: byte pairs with letters, digits and capitals folded to classes, so that form counts and not vocabulary."""
+    """Hashed features: runs of three bytes with letters, digits and capitals folded to classes, so that form counts and not vocabulary."""
     out = np.zeros(SIZE, np.float32)
     raw = np.frombuffer(text, np.uint8)
     if len(raw) > 2:
@@ -134,7 +134,7 @@ def vote_table(docs: DataFrame) -> DataFrame:
     """(doc_id, votes): one digit for each labeller."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in common.small_slices(batch)):
             got = ["".join(map(str, votes(common.utf8(t.as_py())))) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.string())], names=["doc_id", "votes"])
 
@@ -175,10 +175,11 @@ def learn(docs: DataFrame, most_docs: int = 3000) -> tuple[LabelModel, np.ndarra
     texts, target = [], []
     for side in (True, False):
         own = [p for p in patterns if (q[p] >= 0.5) == side]
-        some = table.where(F.col("votes").isin(own)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).distinct()
-        for r in docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "votes").collect():
+        some = table.where(F.col("votes").isin(own)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs).select("doc_id").distinct()
+        rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+        for r in rows.orderBy("doc_id").select("text").collect():
             texts.append(common.utf8(r[0]))
-            target.append(q[r[1]])
+            target.append(q["".join(map(str, votes(texts[-1])))])
     w, b = fit_scorer(texts, np.array(target, np.float32))
     del texts
     common.give_back()
@@ -193,7 +194,7 @@ def score(docs: DataFrame, most_docs: int = 3000, least: float = 0.5) -> DataFra
 
     def run(batches):
         model, w, b = shared.value
-        for batch in batches:
+        for batch in (part for batch in batches for part in common.small_slices(batch)):
             raw = [common.utf8(t.as_py()) for t in batch.column(1)]
             got = ["".join(map(str, votes(t))) for t in raw]
             z = np.array([float(hashed(t) @ w) + b for t in raw])
