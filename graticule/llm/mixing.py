@@ -7,7 +7,7 @@ method on the dual.  Each step needs one small sum over the documents; the rates
 one vector, so they are replayed and never stored.  Targets that no rates reach are warned of.
 
 Edge cases: null and empty texts have no tokens and a uniform posterior; their rate follows from it but moves nothing; null domains are not
-used for fitting; targets are scaled to add up to one, domains without a target count as zero; no labelled rows, no
+used for fitting, and of several texts of one id the least one is; targets are scaled to add up to one, domains without a target count as zero; no labelled rows, no
 tokens or no targets at all leave all rates at one; an empty table gives an empty result; other columns are carried along or ignored.
 """
 
@@ -98,7 +98,7 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
                     got = [features(common.utf8(t.as_py())) for t in some.column(1)]
                     n = np.array([g[1] for g in got], np.int64)
                     p = shared.value.posterior(np.stack([g[0] for g in got]), n == 0)
-                    flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * k + 1, max(k, 1), dtype=np.int32)[: len(n) + 1]), pa.array(p.ravel()))
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * np.int32(k)), pa.array(p.ravel()))
                     yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n), flat], names=["doc_id", "n_tokens", "posterior"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")

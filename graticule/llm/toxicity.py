@@ -9,7 +9,7 @@ offending spans; their maximum and sum give the document's score by a logistic f
 The field is fitted on the driver on at most `most_docs` labelled documents of either class (those whose ids hash lowest).
 
 Edge cases: null and empty texts have no words and get the score of no toxic word; null labels are not used;
-several labels of a document all count; without labels of both classes the score is the share of toxic labels (0 without any); repeated
+several labels of a document all count; of several texts of one id the least one is fitted on, and all are scored; without labels of both classes the score is the share of toxic labels (0 without any); repeated
 rows are scored alike; rows without an id are not held out; an empty table gives an empty result; other columns are carried along or ignored.
 """
 

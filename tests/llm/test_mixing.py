@@ -103,3 +103,23 @@ def test_features_keep_byte_pairs_apart():
     pairs = [bytes((a, b)) for a in letters for b in letters]
     places = {int(np.flatnonzero(mixing.features(x)[0])[0]) for x in pairs}
     assert len(places) == len(pairs)
+
+
+def test_no_targets(spark, docs):
+    assert mixing.solve(posteriors(spark, np.zeros((2, 0)), np.array([3.0, 4.0])), np.zeros(0)) == []
+    model = mixing.fit([], [], [])
+    got = mixing.rates(docs(["some words", None]), model, {}).collect()
+    assert len(got) == 2 and {r["rate"] for r in got} == {1.0}
+
+
+def test_rates_are_the_nearest_to_one(spark):
+    """Against a fine search over two rates that meet the targets."""
+    p, t, target = np.array([[0.9, 0.1], [0.2, 0.8], [0.5, 0.5]]), np.array([10.0, 30.0, 20.0]), np.array([0.5, 0.5])
+    r = mixing._replay(p, mixing.solve(posteriors(spark, p, t), target, close=1e-9))
+    assert np.abs((p * (t * r)[:, None]).sum(0) / t.sum() - target).max() < 1e-6
+    best = np.inf
+    for c in np.linspace(0, 3, 3001):  # two equations leave one rate free
+        a, b = np.linalg.solve((p[:2] * t[:2, None]).T, target * t.sum() - p[2] * t[2] * c)
+        if a >= 0 and b >= 0:
+            best = min(best, t @ (np.array([a, b, c]) - 1) ** 2)
+    assert t @ (r - 1) ** 2 <= best + 1e-4

@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
+from odd_texts import ODD
 
 import corpus_pipeline
-from graticule.llm import common, decontam, neardup, secrets
+from graticule.llm import common, decontam, embed, lm, neardup, secrets, simhash, substrings
 
 
 def test_stages(spark, sf):
@@ -39,3 +41,44 @@ def test_stages(spark, sf):
 def test_run(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.count() > 0 and {"doc_id", "rate"} <= set(got.columns)
+
+
+def test_stages_with_odd_rows_and_more_columns(spark, sf, docs):
+    """Nulls, empty and long texts, repeated rows, and columns whose names the operators use; texts and columns come out as they went in."""
+    rows = [(k, t, "en", "s", 1, 5, "x") for k, t in enumerate(ODD)]
+    rows += [(3, "another text of id three that is long enough", "en", "s", 1, 5, "x"), (None, "a text without an id", None, None, None, None, None), (4, ODD[4], "en", "s", 1, 5, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key int, part string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.stored(stage(spark, df, sf), name)
+        assert out.columns == df.columns and out.count() <= df.count()
+        assert {r["part"] for r in out.collect()} <= {"x", None}
+        df = out
+    assert {r["text"] for r in df.collect()} >= {"word", "another text of id three that is long enough", "a text without an id"}
+    assert corpus_pipeline.STAGES[-1][1](spark, df, sf).count() == df.count()
+
+
+def test_stages_without_rows(spark, sf, docs):
+    df = docs([])
+    for name, stage in corpus_pipeline.STAGES:
+        df = common.stored(stage(spark, df, sf), name)
+        assert df.count() == 0
+        if name == "mixing":
+            assert "rate" in df.columns
+
+
+@pytest.mark.parametrize("query", [
+    lambda df: secrets.scan(df, secrets.fit_on_base(df)).select("doc_id", "spans"), lambda df: lm.score(df).select("doc_id", "base_score", "score"), lambda df: substrings.without_repeats(df).select("doc_id", "n_bytes", "n_removed"),
+    lambda df: simhash.classes(df).select("doc_id", "fp", "component_id"), lambda df: decontam.hits(df, df.selectExpr("doc_id as item_id", "text")).select("doc_id", "n_words", "n_hit"),
+])
+def test_clashing_names(spark, docs, query):
+    """Columns named as the operators name theirs change nothing."""
+    df = docs(["some words of a text", "some words of a text", None, "token=abcdef123 and more"]).select("doc_id", "text")
+    names = ["key", "key2", "part", "fp", "block", "held", "spans", "items", "n_words", "component_id", "bucket", "score", "rows"]
+    more = df.selectExpr("doc_id", "text", *[f"'z' as {n}" for n in names])
+    assert sorted(map(tuple, query(more).collect())) == sorted(map(tuple, query(df).collect()))
+
+
+def test_clashing_names_of_vectors(spark):
+    rows = [(1, [1.0, 0.0], "z", "z"), (2, [1.0, 0.01], "z", "z"), (3, [0.0, 1.0], "z", "z")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep string, tile string")
+    assert {r["vec_id"]: r["component_id"] for r in embed.near_vectors(df).collect()} == {1: 1, 2: 1, 3: 3}

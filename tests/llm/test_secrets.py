@@ -88,3 +88,54 @@ def test_without_samples_nothing_is_added(spark, docs):
     models = secrets.fit_on_base(docs([None, "", "nothing of note"]))
     assert models.is_secret(random_strings(3, 5)).tolist() == [False] * 3
     assert secrets.scan(docs([]), models).count() == 0
+
+
+def test_candidates_against_all_spans():
+    """Runs that touch no base span, in texts full of both."""
+    rng = np.random.default_rng(5)
+    parts = ["password=hunter22", "deadbeef" * 4, "AKIA" + "Z" * 20, "Xk9/" * 6, "plain words", "token: abc123def", "q" * 18, "\n"]
+    for _ in range(60):
+        text = " ".join(rng.choice(parts, 40)) + "".join(rng.choice(parts, 5))
+        base = secrets.base_spans(text)
+        want = [(m.start(), m.end(), m[0]) for m in secrets.RUN.finditer(text) if not any(s < m.end() and e > m.start() for s, e, *_ in base)]
+        assert secrets.candidates(text, base) == want
+
+
+def test_time_in_proportion_to_a_text():
+    import time
+
+    unit = "token=abc123def456 " + "Zk3" * 8 + " words between them "
+    took = []
+    for n in (2_000, 40_000):
+        text = unit * n
+        began = time.process_time()
+        found = secrets.candidates(text, secrets.base_spans(text))
+        took.append(time.process_time() - began)
+        assert len(found) == n
+    assert took[1] < 60 * max(took[0], 0.01)
+
+
+def test_query_spans_against_models_one_by_one(spark, sf):
+    """The models' spans, counted and scored one string at a time."""
+    rows = [(r[0], r[1] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    counts = np.zeros((2, secrets.SIGNS, secrets.SIGNS))
+    for _, t in rows:
+        base = secrets.base_spans(t)
+        for kind, values in ((1, [b[3] for b in base]), (0, [c[2] for c in secrets.candidates(t, base)])):
+            for v in values:
+                codes = [secrets.EDGE, *[secrets.ALPHABET.index(c) for c in v], secrets.EDGE]
+                for a, b in zip(codes, codes[1:]):
+                    counts[kind, a, b] += 1
+    logs = []
+    for c in counts[::-1]:
+        alone = (c.sum(0) + 0.5) / (c.sum() + 0.5 * secrets.SIGNS)
+        logs.append(np.log((c + 20 * alone) / (c.sum(1, keepdims=True) + 20)))
+    got = {r["doc_id"]: r for r in secrets.op2_secrets(spark, sf).collect()}
+    for d, t in rows:
+        base, own = secrets.base_spans(t), []
+        for s, e, v in secrets.candidates(t, base):
+            codes = [secrets.EDGE, *[secrets.ALPHABET.index(c) for c in v], secrets.EDGE]
+            ratio = sum(logs[0][a, b] - logs[1][a, b] for a, b in zip(codes, codes[1:]))
+            if ratio >= max(10, 0.5 * len(v)):
+                own.append((s, e, 3))
+        assert got[d]["spans"] == secrets.joined(sorted([b[:3] for b in base] + own, key=lambda x: (x[0], x[2])))

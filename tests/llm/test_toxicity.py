@@ -106,6 +106,24 @@ def test_query(spark, sf):
     assert np.mean([got[d]["predicted"] == truth[d] for d in train]) >= 0.9
 
 
+def test_held_out_labels(spark, sf):
+    """On labelled documents that the field has not seen, of the thousand."""
+    sf = sf.replace("sf0.001", "sf0.01")
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").collect()}
+    got = {r["doc_id"]: r for r in toxicity.op1_toxicity(spark, sf).collect() if r["held_out"]}
+    own = [d for d in got if d in truth]
+    assert len(own) > 50
+    assert np.mean([got[d]["predicted"] == truth[d] for d in own]) >= 0.95
+    assert np.mean([got[d]["predicted"] for d in own if truth[d] == 0]) <= 0.03
+
+
+def test_every_window_of_the_sample_is_trained_on():
+    """A word that stands only far from the first of its document's words, and apart from marked ones, has a weight of its own."""
+    texts = [" ".join(["aaa"] * 100 + ["zzyzx"] + ["bbb"] * 100), " ".join(["aaa", "blorg", "blorgan"] * 3 + ["ccc"] * 90)] * 40
+    field = toxicity.fit(texts, [0, 1] * 40)
+    assert field.weights[toxicity.feature_ids("zzyzx")].sum() < len(toxicity.feature_ids("zzyzx")) * -0.2
+
+
 def test_odd_rows_and_labels(spark, docs):
     texts, labels = corpus(80, 4)
     df = docs(texts + ODD)
