@@ -1,7 +1,9 @@
 """A corpus from raw documents: five stages, each on all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-`documents`.  The last gives each document that is left its rate in the mixture.
+`documents`, and others that come along.  The last gives each document that is left its rate in the mixture.
+
+Edge cases: rows without an id pass all stages; an empty table gives an empty one; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -16,27 +18,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity field gives at least 0.5 go."""
+    """Documents that the toxicity field gives at least 0.5 go; null and empty texts have no toxic word, repeated rows go or stay together."""
     return toxicity.reject(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the document with the smallest id stays.
+
+    Null and empty texts are copies of each other; rows of one id with different texts are documents of their own, repeated rows one.
+    """
     return neardup.one_of_each(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item, or a whole shorter one, go."""
+    """Documents that hold ten consecutive words of a benchmark item, or a whole shorter one, go; null texts, and items without words, hit nothing."""
     return decontam.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in their texts are replaced."""
+    """All documents stay; secrets in their texts are replaced and n_chars follows; null texts stay null."""
     return secrets.redact(docs, secrets.fit_on_base(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, with their posteriors and their rates towards the target shares of languages."""
+    """All documents stay, with their posteriors and their rates towards the target shares of languages; texts without words weigh nothing."""
     return mixing.mixed(docs, _table(spark, sf_dir, "labels"))
 
 
