@@ -170,7 +170,7 @@ def activations(lines: DataFrame, bands: int, band: int, top: int = 255) -> Data
     px = to_pixels(lines, bands).select("image", "x", "y", F.col("feat")[band].alias("v"))
     ends = px.groupBy("image").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), F.floor(F.round(top * (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")), 9))).otherwise(0)
-    return px.join(F.broadcast(ends), "image").select("image", "x", "y", scaled.alias("val"))
+    return px.join(ends, "image").select("image", "x", "y", scaled.alias("val"))
 
 
 def batch_size(free_mb: float, width: int, height: int, trained: list[TrainedImageLayer]) -> int:

@@ -240,7 +240,7 @@ def flipped_x(lines: DataFrame) -> DataFrame:
 
 def flipped_y(lines: DataFrame) -> DataFrame:
     last = lines.groupBy("image").agg(F.max("y").alias("last"))
-    return lines.join(F.broadcast(last), "image").withColumn("y", F.col("last") - F.col("y")).drop("last")
+    return lines.join(last, "image").withColumn("y", F.col("last") - F.col("y")).drop("last")
 
 
 def transposed(lines: DataFrame) -> DataFrame:

@@ -239,17 +239,19 @@ def box_sums(lines: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def integral(lines: DataFrame) -> DataFrame:
-    """Two-dimensional running sums.  Rows are summed in blocks first, so no task sees more than a block of them and the blocks' sums."""
-    prefix = F.aggregate(
-        "line", F.array().cast("array<double>"), lambda s, v: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + v))
-    )
-    rows = lines.select("image", "y", F.floor(F.col("y") / BAND).alias("band"), prefix.alias("s"))
-    cells = rows.select("image", "y", "band", F.posexplode("s").alias("x", "v"))
-    inner = cells.withColumn("inner", F.sum("v").over(W.partitionBy("image", "band", "x").orderBy("y")))
-    totals = cells.groupBy("image", "band", "x").agg(F.sum("v").alias("t"))
+    """Two-dimensional running sums.  Bands of rows are summed first, so no task sees more than a band of them and the bands' last rows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("y")
+        a = np.cumsum(np.cumsum(np.stack([np.asarray(x, float) for x in pdf["line"]]), 1), 0)
+        return pd.DataFrame({"image": pdf["image"].to_numpy(), "y": pdf["y"].to_numpy(), "band": pdf["band"].to_numpy(), "line": list(a), "last": pdf["y"].to_numpy() == pdf["y"].max()})
+
+    own = lines.select("image", "y", "line", F.floor(F.col("y") / BAND).alias("band")).groupBy("image", "band").applyInPandas(run, "image string, y long, band long, line array<double>, last boolean")
+    cells = own.select("image", "y", "band", "last", F.posexplode("line").alias("x", "v"))
+    totals = cells.where("last").select("image", "band", "x", F.col("v").alias("t"))
     before = totals.withColumn("before", F.coalesce(F.sum("t").over(W.partitionBy("image", "x").orderBy("band").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
-    joined = inner.join(before.select("image", "band", "x", "before"), ["image", "band", "x"])
-    return joined.select("image", "x", "y", (F.col("inner") + F.col("before")).alias("val"))
+    joined = cells.join(before.select("image", "band", "x", "before"), ["image", "band", "x"])
+    return joined.select("image", "x", "y", (F.col("v") + F.col("before")).alias("val"))
 
 
 def histogram(values: DataFrame, column: str, bins: int, largest: float) -> DataFrame:

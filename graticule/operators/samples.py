@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..tables import TEST, TRAIN, has
 
-#: Rows of a block in block-wise comparisons.
-BLOCK = 2048
+#: Rows of a block in block-wise comparisons, and centroids in one broadcast.
+BLOCK, CENTROIDS = 2048, 4096
 
 
 # --- filters and relabelling
@@ -278,10 +278,16 @@ def normalised_cut(graph: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def nearest_centroid(sm: DataFrame, centroids: DataFrame, distance=V.squared_euclidean) -> DataFrame:
-    """sm with (group, d) of its nearest centroid (c, centre); centroids are few and broadcast."""
-    table = centroids.agg(F.collect_list(F.struct("c", "centre")).alias("cs"))
-    best = F.array_min(F.transform("cs", lambda s: F.struct(distance(F.col("feat"), s["centre"]).alias("d"), s["c"].alias("c"))))
-    return sm.join(F.broadcast(table)).withColumn("b", best).withColumns({"group": F.col("b.c"), "d": F.col("b.d")}).drop("cs", "b")
+    """sm with (group, d) of its nearest centroid (c, centre); centroids are broadcast, at most CENTROIDS at a time, so that each row holds one block's best."""
+    n = centroids.count()
+    blocks = max(1, -(-n // CENTROIDS))
+    got = sm
+    for k in range(blocks):
+        own = centroids if blocks == 1 else centroids.where(F.pmod(F.xxhash64("c"), F.lit(blocks)) == k)
+        table = own.agg(F.collect_list(F.struct("c", "centre")).alias("cs"))
+        best = F.array_min(F.transform("cs", lambda s: F.struct(distance(F.col("feat"), s["centre"]).alias("d"), s["c"].alias("c"))))
+        got = got.join(F.broadcast(table)).withColumn("_b", F.array_min(F.array_compact(F.array("_b", best))) if k else best).drop("cs")
+    return got.withColumns({"group": F.col("_b.c"), "d": F.col("_b.d")}).drop("_b")
 
 
 def class_centroids(sm: DataFrame, by: str = "truelabel") -> DataFrame:

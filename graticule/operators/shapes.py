@@ -60,7 +60,7 @@ def relabelled(px: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     names = px.where("val <> 0").select("image", "val").distinct().withColumn("_n", F.row_number().over(W.partitionBy("image").orderBy("val")))
-    got = px.join(F.broadcast(names), ["image", "val"], "left")
+    got = px.join(names, ["image", "val"], "left")
     return got.select("image", "x", "y", F.coalesce("_n", F.lit(0)).alias("val"))
 
 

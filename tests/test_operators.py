@@ -268,3 +268,15 @@ def test_running_moments_by_block(spark):
     for r in running.running_moments(df, "user", ["id"], "value", F.col("day")).collect():
         a, b = plain[r["id"]]
         assert (a is None and r["rm"] is None) or (abs(a - r["rm"]) < 1e-9 and abs(b - r["rv"]) < 1e-9)
+
+
+def test_nearest_centroids_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x, c = rng.normal(size=(40, 3)), rng.normal(size=(23, 3))
+    sm = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, feat array<double>")
+    centres = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(c)], "c int, centre array<double>")
+    want = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    for size in (5, 4096):
+        monkeypatch.setattr(samples, "CENTROIDS", size)
+        got = {r["id"]: r["group"] for r in samples.nearest_centroid(sm, centres).collect()}
+        assert [got[k] for k in range(40)] == want.tolist()

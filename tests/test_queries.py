@@ -3,7 +3,7 @@
 import pytest
 from oracle import connect, difference
 
-from graticule.plans import evaluation, frames, functions, matrices, pictures, selection, shapes  # noqa: F401  (they add their queries)
+from graticule.plans import evaluation, frames, functions, matrices, pictures, regions, selection, shapes  # noqa: F401  (they add their queries)
 from graticule.plans.queries import QUERIES, SQL
 
 
