@@ -161,8 +161,7 @@ def scaled(a: Column, factor: float) -> Column:
 
 
 def variance(a: Column) -> Column:
-    m = V.mean(a)
-    return V.total(a, lambda x: (x - m) * (x - m)) / F.size(a)
+    return V.let(V.mean(a), lambda m: V.total(a, lambda x: (x - m) * (x - m))) / F.size(a)
 
 
 def median(a: Column) -> Column:
@@ -177,10 +176,13 @@ def weighted_mean(a: Column, w: Column) -> Column:
 def weighted_median(a: Column, w: Column) -> Column:
     """The least element up to which at least half of the weight lies."""
     pairs = F.array_sort(F.zip_with(a, w, lambda x, y: F.struct(x.alias("x"), y.alias("w"))))
-    half = V.total(w) / 2
     state = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("at"))
-    step = lambda s, p: F.struct((s["sum"] + p["w"]).alias("sum"), F.coalesce(s["at"], F.when(s["sum"] + p["w"] >= half, p["x"])).alias("at"))
-    return F.aggregate(pairs, state, step, lambda s: s["at"])
+
+    def found(half: Column) -> Column:
+        step = lambda s, p: F.struct((s["sum"] + p["w"]).alias("sum"), F.coalesce(s["at"], F.when(s["sum"] + p["w"] >= half, p["x"])).alias("at"))
+        return F.aggregate(pairs, state, step, lambda s: s["at"])
+
+    return V.let(V.total(w) / 2, found)
 
 
 def mean_of_others(a: Column) -> Column:

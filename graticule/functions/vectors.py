@@ -24,6 +24,11 @@ def mean(a: Column) -> Column:
     return total(a) / F.size(a)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, and not again for each element that a lambda in the body looks at."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squared_euclidean(a: Column, b: Column) -> Column:
     return total2(a, b, lambda x, y: (x - y) * (x - y))
 
@@ -125,8 +130,8 @@ def running_differences(a: Column, b: Column) -> Column:
 
 def kullback_leibler(a: Column, b: Column) -> Column:
     """Divergence of a from b, each scaled to add up to one."""
-    sa, sb = total(a), total(b)
-    return total2(a, b, lambda x, y: x / sa * F.log(x / sa / (y / sb)))
+    sums = F.struct(total(a).alias("a"), total(b).alias("b"))
+    return let(sums, lambda s: total2(a, b, lambda x, y: x / s["a"] * F.log(x / s["a"] / (y / s["b"]))))
 
 
 #: Numbered distance functions (fixed numbering).
@@ -157,30 +162,27 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column, least: float = 0.001) -> Column:
     """a at length one; a vector no longer than `least` stays as it is."""
-    n = norm(a)
-    return F.when(n > least, F.transform(a, lambda x: x / n)).otherwise(a)
+    return let(norm(a), lambda n: F.when(n > least, F.transform(a, lambda x: x / n)).otherwise(a))
 
 
 def by_maximum(a: Column) -> Column:
-    top = F.array_max(a)
-    return F.transform(a, lambda x: x / top)
+    return let(F.array_max(a), lambda top: F.transform(a, lambda x: x / top))
+
+
+def _squares(a: Column, m: Column) -> Column:
+    return total(a, lambda x: (x - m) * (x - m))
 
 
 def standardised(a: Column) -> Column:
     """(x - mean) / population deviation inside one vector."""
-    m = mean(a)
-    dev = F.sqrt(total(a, lambda x: (x - m) * (x - m)) / F.size(a))
-    return F.transform(a, lambda x: (x - m) / dev)
+    return let(mean(a), lambda m: let(F.sqrt(_squares(a, m) / F.size(a)), lambda dev: F.transform(a, lambda x: (x - m) / dev)))
 
 
 def contrast(a: Column) -> Column:
     """(x - mean) / sqrt((sum of squares + 0.1) / (n - 1)) inside one vector."""
-    m = mean(a)
-    dev = F.sqrt((total(a, lambda x: (x - m) * (x - m)) + 0.1) / (F.size(a) - 1))
-    return F.transform(a, lambda x: (x - m) / dev)
+    return let(mean(a), lambda m: let(F.sqrt((_squares(a, m) + 0.1) / (F.size(a) - 1)), lambda dev: F.transform(a, lambda x: (x - m) / dev)))
 
 
 def norm_one(a: Column) -> Column:
     """a scaled to add up to one in absolute value."""
-    n = total(a, F.abs)
-    return F.transform(a, lambda x: x / n)
+    return let(total(a, F.abs), lambda n: F.transform(a, lambda x: x / n))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import by_maximum
+
 
 def moments(px: DataFrame, bands: list[Column], by: str = "label") -> DataFrame:
     """(by, feat, size): mean, deviation and signed cube root of the third moment of each band over a region, and the region's share of all pixels."""
@@ -73,7 +75,7 @@ def oriented_gradients(lines: DataFrame, cell: int = 8, bins: int = 9) -> DataFr
 def brightness(lines: DataFrame) -> DataFrame:
     """(image, feat): all values of an image, row by row, over the largest one."""
     rows = lines.groupBy("image").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda r: r["line"])).alias("feat"))
-    return rows.select("image", F.transform("feat", lambda v: v / F.array_max("feat")).alias("feat"))
+    return rows.select("image", by_maximum(F.col("feat")).alias("feat"))
 
 
 # --- region graphs: nodes (graph_id, node, num_pixels, feat), edges (graph_id, src, dst), both ways
