@@ -41,13 +41,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
 ROW_GROUP = 16 << 20
 
 
+#: Scratch tables that this process has written and not yet cleared.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back; the table stays until the folder is cleared."""
+    """Write `df` as a Parquet table in the shared folder and read it back; the table stays until `clear`."""
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> set[str]:
+    """The scratch tables that there are."""
+    return set(_WRITTEN)
+
+
+def clear(spark: SparkSession, but: DataFrame | None = None, before: set[str] = frozenset()) -> int:
+    """Delete this process's scratch tables, except those in `before` and the one that `but` reads; how many went.  Only for frames that are no longer read."""
+    keep = [p for p in _WRITTEN if p in before or (but is not None and any(p.rsplit("/", 1)[-1] in f for f in but.inputFiles()))]
+    gone = [p for p in _WRITTEN if p not in keep]
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN[:] = keep
+    return len(gone)
+
+
 def crc_rest(doc_id: Column, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))

@@ -43,6 +43,17 @@ def test_run(spark, sf):
     assert got.count() > 0 and {"doc_id", "rate"} <= set(got.columns)
 
 
+def test_scratch_tables_go(spark, docs):
+    old = common.stored(docs(["o"]), "scratch")
+    before = common.written()
+    one, two = (common.stored(docs([t]), "scratch") for t in "ab")
+    assert common.clear(spark, two, before) == 1
+    assert [r["text"] for r in two.collect()] == ["b"] and [r["text"] for r in old.collect()] == ["o"]
+    with pytest.raises(Exception):
+        one.collect()
+    assert common.clear(spark, before=before) == 1 and common.written() == before
+
+
 def test_stages_with_odd_rows_and_more_columns(spark, sf, docs):
     """Nulls, empty and long texts, repeated rows, and columns whose names the operators use; texts and columns come out as they went in."""
     rows = [(k, t, "en", "s", 1, 5, "x") for k, t in enumerate(ODD)]
