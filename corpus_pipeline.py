@@ -58,8 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`; what a stage keeps is written to the shared folder before the next one."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages on `documents`; what a stage keeps is written to the shared folder before the next one, and the stage's other scratch tables go then."""
+    docs, before = _table(spark, sf_dir, "documents"), common.written()
     for name, stage in STAGES[:-1]:
         docs = common.stored(stage(spark, docs, sf_dir), name)
+        common.clear(spark, docs, before)
     return STAGES[-1][1](spark, docs, sf_dir)
