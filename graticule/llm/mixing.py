@@ -63,7 +63,9 @@ class Classifier:
 def fit(texts: list[str], labels: list[str], domains: list[str], rounds: int = 60) -> Classifier:
     if not labels:
         return Classifier(domains)
-    x = np.stack([features(common.utf8(t))[0] for t in texts])
+    x = np.empty((len(texts), SIZE), np.float32)
+    for row, t in zip(x, texts):
+        row[:] = features(common.utf8(t))[0]
     y = np.eye(len(domains), dtype=np.float32)[[domains.index(d) for d in labels]]
     w, b = np.zeros((SIZE, len(domains)), np.float32), np.zeros(len(domains), np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)

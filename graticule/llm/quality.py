@@ -155,7 +155,9 @@ def fit_scorer(texts: list[bytes], target: np.ndarray, rounds: int = 150) -> tup
     """A linear scorer by logistic regression on posterior labels, both halves weighing the same: what a text's form says beside the share of good ones."""
     if not len(texts):
         return np.zeros(SIZE, np.float32), 0.0
-    x = np.stack([hashed(t) for t in texts])
+    x = np.empty((len(texts), SIZE), np.float32)
+    for row, t in zip(x, texts):
+        row[:] = hashed(t)
     bad, good = max(1e-6, float((1 - target).sum())), max(1e-6, float(target.sum()))
     weight = (target / good + (1 - target) / bad).astype(np.float32) / 2
     w, b, vw, vb = np.zeros(SIZE, np.float32), 0.0, np.zeros(SIZE, np.float32), 0.0
