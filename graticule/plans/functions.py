@@ -16,7 +16,7 @@ from ..functions import scalars as S
 from ..functions import texts as X
 from ..functions import vectors as V
 from ..operators import raster
-from .queries import LONG, PX, RGB, SM, _px, _rgb, query, r4
+from .queries import _T, _XYZ, LONG, PX, RGB, SM, _px, _rgb, query, r4
 
 
 def columns(name: str, table: str, keys: tuple[str, ...], parts: dict[str, tuple[Callable[[], Column], str | None]]) -> None:
@@ -258,8 +258,10 @@ _li = "((r / 3.0 + 16) / 116)"
 _inv = "(CASE WHEN {0} >= 6.0 / 29 THEN {0} * {0} * {0} ELSE 108.0 / 841 * ({0} - 4.0 / 29) END)"
 _xyz = [f"({w!r} * {_inv.format(t)})" for w, t in zip(S.WHITE, (f"({_li} + (g / 3.0 - 50) / 500)", _li, f"({_li} - (b / 3.0 - 50) / 200)"))]
 _colour_query("colour_of_lab", lambda r, g, b: C.rgb_of_lab(r / 3, g / 3 - 50, b / 3 - 50), {n: f"CAST(trunc(({p!r} * {_xyz[0]} + {q!r} * {_xyz[1]} + {s!r} * {_xyz[2]}) * 255) AS INTEGER)" for n, (p, q, s) in zip("xyz", C.RGB_OF_XYZ)})
-_colour_query("colour_ycbcr_lab", C.ycbcr_to_lab, None)
-_colour_query("colour_ycbcr_lab_scaled", C.ycbcr_to_lab_scaled, None)
+_LAB = ["CASE WHEN y > 0.008856 THEN 116 * pow(y, 1 / 3.0) - 16 ELSE 903.3 * y END", f"500 * ({_T.format('x')} - {_T.format('y')})", f"200 * ({_T.format('y')} - {_T.format('z')})"]
+_CONVERTED = RGB.replace("rgb AS", "raw AS") + f", own AS (SELECT l_orderkey, l_linenumber, {', '.join(f'{_clamped(q)} AS {n}' for n, q in zip('rgb', _back))} FROM raw), rgb AS (SELECT l_orderkey, l_linenumber, {_XYZ} FROM own)"
+_colour_query("colour_ycbcr_lab", C.ycbcr_to_lab, {n: f"round({q}, 3) + 0.0" for n, q in zip("xyz", _LAB)}, cte=_CONVERTED)
+_colour_query("colour_ycbcr_lab_scaled", C.ycbcr_to_lab_scaled, {n: f"round(({q} + {low!r}) / {span!r}, 3) + 0.0" for n, q, (low, span) in zip("xyz", _LAB, S.LAB_RANGE)}, cte=_CONVERTED)
 _colour_query("colour_converted", lambda r, g, b: C.converted([r, g, b], "hsv", "lab_scaled"), None)
 _colour_query("colour_as_gray", lambda r, g, b: C.converted([r, g, b], "rgb", "gray") * 1, {"x": "round(0.299 * r + 0.587 * g + 0.114 * b, 3)"})
 
