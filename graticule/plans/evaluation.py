@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import tables as T
 from ..operators import evaluation as E
 from ..operators import samples, shapes
-from .pictures import _images
+from .pictures import IM, _images
 from .queries import CENT, CROSS, KNN, LONG, OVER, PAIRS, PER, PRED, PX, RGB, SM, _overlap, _predicted, _px, _rgb, _taps, query, r4
 
 
@@ -213,7 +213,16 @@ def _borders(spark, sf, low: float) -> DataFrame:
     return shapes.object_border_set(own).select((F.col("x") + 1000 * F.col("image").cast("int")).alias("x"), "y")
 
 
-@query("surface_distances")
+def _rim_sql(low: float, name: str) -> str:
+    """Border pixels of what is above a value, of all images side by side."""
+    other = " OR ".join(f"coalesce((SELECT q.val FROM ip q WHERE q.image = p.image AND q.x = p.x + {dx} AND q.y = p.y + {dy}), -1e9) <= {low}" for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1)))
+    return f"{name} AS (SELECT p.x + 1000 * CAST(p.image AS INTEGER) AS x, p.y FROM ip p WHERE p.val > {low} AND ({other}))"
+
+
+_WAY = "(SELECT min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) FROM {1} b)"
+
+
+@query("surface_distances", f"WITH {IM}, {_rim_sql(100.0, 's')}, {_rim_sql(150.0, 't')}, u AS (SELECT {_WAY.format('', 't')} AS d FROM s a), v AS (SELECT {_WAY.format('', 's')} AS d FROM t a) SELECT round((SELECT avg(d) FROM u), 4) AS there, round((SELECT avg(d) FROM v), 4) AS back, round(((SELECT sum(d) FROM u) + (SELECT sum(d) FROM v)) / ((SELECT count(*) FROM u) + (SELECT count(*) FROM v)), 4) AS both")
 def _(spark, sf):
     got = E.surface_distance(_borders(spark, sf, 100.0), _borders(spark, sf, 150.0))
     return got.select(*[r4(c).alias(c) for c in ("there", "back", "both")])
