@@ -317,15 +317,21 @@ def medial_axis(lines: DataFrame) -> DataFrame:
 
 def shape_of_axis(lines: DataFrame) -> DataFrame:
     """1 on all pixels nearer to a pixel of a medial axis (squared distances) than that says, else 0."""
-
-    def run(a: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(a)
-        yy, xx = np.mgrid[: a.shape[0], : a.shape[1]]
-        for y, x in zip(*np.nonzero(np.nan_to_num(a))):
-            out[(yy - y) ** 2 + (xx - x) ** 2 < a[y, x]] = 1
-        return out
-
-    return per_image(lines, run)
+    return per_image(lines, lambda a: (_reached(_reached(np.where(a > 0, -a, np.inf)).T).T < 0).astype(float))
+
+
+def _reached(left: np.ndarray) -> np.ndarray:
+    """Of each pixel the least squared distance to one of its column, plus what `left` has there, as far as that is below 0."""
+    out, (y, x) = left.copy(), np.nonzero(left < 0)
+    for d in range(1, len(left)):
+        on = left[y, x] < -d * d  # these alone reach so far
+        y, x = y[on], x[on]
+        if not len(y):
+            break
+        for p in (y + d, y - d):
+            on = (p >= 0) & (p < len(left))
+            out[p[on], x[on]] = np.minimum(out[p[on], x[on]], left[y[on], x[on]] + d * d)
+    return out
 
 
 # --- optimum paths and cuts

@@ -1,6 +1,7 @@
 """Shapes, frames, colours and matrices on small fixtures, against plain computations."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -69,6 +70,22 @@ def test_medial_axis_gives_the_shape_back(spark):
     assert (back(axis) > 0).sum() < a.sum()
 
 
+def test_shape_of_axis_of_a_tall_image(monkeypatch):
+    """Against every disk in small images; a tall one of many disks takes no pass over the image for each."""
+    monkeypatch.setattr(Z, "per_image", lambda a, fn: fn(a))
+    rng = np.random.default_rng(1)
+    for shape in ((1, 1), (1, 9), (12, 5), (9, 14)) * 5:
+        a = rng.choice([0, 0, 0, 0, 1, 2, 5, 13, 40, -3, np.nan, np.inf], shape, p=[0.2] * 4 + [0.03] * 4 + [0.02, 0.02, 0.03, 0.01])
+        yy, xx = np.mgrid[: shape[0], : shape[1]]
+        disks = [(yy - y) ** 2 + (xx - x) ** 2 < a[y, x] for y, x in np.ndindex(shape)]
+        assert (Z.shape_of_axis(a) == np.any(disks, axis=0)).all()
+    tall = np.zeros((40_000, 64))
+    tall[::2, ::2] = 2
+    began = time.process_time()
+    assert Z.shape_of_axis(tall)[:-1, :-1].mean() > 0.75
+    assert time.process_time() - began < 20
+
+
 def test_trees_and_attributes(spark):
     a = np.array([[0, 5, 5, 0, 9], [0, 0, 0, 0, 0], [3, 3, 0, 0, 7]], float)
     assert back(Z.volume_opening(lines(spark, a), 8.0)).tolist() == [[0, 5, 5, 0, 9], [0] * 5, [0, 0, 0, 0, 0]]
