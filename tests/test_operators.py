@@ -330,3 +330,17 @@ def test_certainty_in_one_pass(spark, monkeypatch):
         (a, label), (b, _) = least
         want[t[0]] = (label, a, pytest.approx(0.5 if a + b < 1e-7 else b / (a + b)))
     assert {r["id"]: (r["label"], r["cost"], r["weight"]) for r in got.collect()} == want
+
+
+def test_nearest_pixels_in_tiles(spark):
+    """Against all pairs: near, far beyond the first tiles, repeated; and in tiles, so that pairs do not grow with the square of the border."""
+    rng = np.random.default_rng(3)
+    a = [(int(x), int(y)) for x, y in rng.integers(-90, 90, (60, 2))] + [(3000, 1)] * 2
+    b = [(int(x), int(y)) for x, y in rng.integers(20, 400, (40, 2))]
+    got = evaluation.surface_distance(*(spark.createDataFrame(p, "x int, y long") for p in (a, b))).first()
+    there, back = ([min(math.dist(p, q) for q in two) for p in one] for one, two in ((a, b), (b, a)))
+    assert tuple(got) == pytest.approx((np.mean(there), np.mean(back), np.mean(there + back)))
+    one, two = (spark.range(3000).select((F.col("id") % 3 * 1000).cast("double").alias("x"), (F.col("id") * 7 + k).cast("double").alias("y"), F.lit(1).alias("n")) for k in (0, 5))
+    seen = evaluation._in_tiles(one, two, 64.0)
+    assert seen.where("d2 <= 4096").count() == 3000 and "CoGroup" in seen._jdf.queryExecution().toString()
+    assert tuple(evaluation.surface_distance(one, two.limit(0)).first()) == (None, None, None)
