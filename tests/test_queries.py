@@ -28,3 +28,12 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
+
+
+def test_neighbour_map_takes_all_its_rounds(spark, sf):
+    from graticule import tables
+    from graticule.operators import evaluation as operators
+
+    want = {r["id"]: r["feat"] for r in operators.neighbour_map(tables.samples(spark, sf)).collect()}
+    got = {r["id"]: r["feat"] for r in QUERIES["neighbour_map"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(v == pytest.approx(want[k], abs=1e-4) for k, v in got.items())
