@@ -344,3 +344,14 @@ def test_nearest_pixels_in_tiles(spark):
     seen = evaluation._in_tiles(one, two, 64.0)
     assert seen.where("d2 <= 4096").count() == 3000 and "CoGroup" in seen._jdf.queryExecution().toString()
     assert tuple(evaluation.surface_distance(one, two.limit(0)).first()) == (None, None, None)
+
+
+def test_neighbour_map_in_blocks(spark, monkeypatch):
+    """One task and a job a round give the same map, and no comparison holds all pairs."""
+    x = np.random.default_rng(5).normal(0, 1, (150, 4))
+    sm = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, feat array<double>")
+    one = {r["id"]: r["feat"] for r in evaluation.neighbour_map(sm, rounds=3).collect()}
+    monkeypatch.setattr(samples, "BLOCK", 100)
+    many = {r["id"]: r["feat"] for r in evaluation.neighbour_map(sm, rounds=3).collect()}
+    assert one.keys() == many.keys() and all(v == pytest.approx(many[k], abs=1e-9) for k, v in one.items())
+    assert evaluation._squares(x, 64)[0].shape == (64, 150)
