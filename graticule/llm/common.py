@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import re
@@ -11,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,6 +187,20 @@ def give_back(collect: bool = True) -> None:
         trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Between large steps: the driver's JVM collects its garbage, so that Spark drops shuffles, broadcasts and checkpoints that no frame reads any more, and what it has freed goes back to the system, where the JVM can."""
+    give_back()
+    jvm = spark._jvm
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # JVMs without this command keep their free native memory
+        commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = commands, "systemTrimNativeHeap"
+        # the server's own class is closed to py4j, its interface is not
+        methods = jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods()
+        next(m for m in methods if m.getName() == "invoke").invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 class Forest:
     """Union-find over the integers below n, kept in one numpy array."""
 

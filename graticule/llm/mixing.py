@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SIZE = 4096
+#: Documents whose features the fit holds as full rows at a time.
+ROWS = 512
 
 
 def features(text: bytes) -> tuple[np.ndarray, int]:
@@ -63,17 +65,28 @@ class Classifier:
 def fit(texts: list[str], labels: list[str], domains: list[str], rounds: int = 60) -> Classifier:
     if not labels:
         return Classifier(domains)
-    x = np.empty((len(texts), SIZE), np.float32)
-    for row, t in zip(x, texts):
-        row[:] = features(common.utf8(t))[0]
+    place, share = [], []  # of each text only the features that it has
+    for t in texts:
+        row = features(common.utf8(t))[0]
+        place.append(np.flatnonzero(row).astype(np.uint16))
+        share.append(row[place[-1]])
+    x = np.zeros((min(ROWS, len(texts)), SIZE), np.float32)
     y = np.eye(len(domains), dtype=np.float32)[[domains.index(d) for d in labels]]
     w, b = np.zeros((SIZE, len(domains)), np.float32), np.zeros(len(domains), np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(rounds):  # full-batch gradient with momentum; features have length one
-        z = x @ w + b
-        z = np.exp(z - z.max(1, keepdims=True))
-        d = (z / z.sum(1, keepdims=True) - y) / len(x)
-        vw, vb = 0.9 * vw - 4.0 * (x.T @ d + 1e-5 * w), 0.9 * vb - 4.0 * d.sum(0)
+        slope, slope_b = 1e-5 * w, np.zeros_like(b)
+        for at in range(0, len(texts), ROWS):
+            part = x[: len(y[at : at + ROWS])]
+            for row, on, values in zip(part, place[at : at + ROWS], share[at : at + ROWS]):
+                row[on] = values
+            z = part @ w + b
+            z = np.exp(z - z.max(1, keepdims=True))
+            d = (z / z.sum(1, keepdims=True) - y[at : at + ROWS]) / len(texts)
+            slope, slope_b = slope + part.T @ d, slope_b + d.sum(0)
+            for row, on in zip(part, place[at : at + ROWS]):
+                row[on] = 0
+        vw, vb = 0.9 * vw - 4.0 * slope, 0.9 * vb - 4.0 * slope_b
         w, b = w + vw, b + vb
     return Classifier(domains, w, b)
 

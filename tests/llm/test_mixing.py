@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from odd_texts import ODD
 
@@ -123,3 +125,23 @@ def test_rates_are_the_nearest_to_one(spark):
         if a >= 0 and b >= 0:
             best = min(best, t @ (np.array([a, b, c]) - 1) ** 2)
     assert t @ (r - 1) ** 2 <= best + 1e-4
+
+
+def test_fit_holds_few_full_rows():
+    """The fit keeps of each text what the text has: memory far below a row of all features for each."""
+    texts = [f"{w} number {k}" for k in range(1500) for w in ("eins zwei drei", "one two three")]
+    labels = ["de", "en"] * 1500
+    tracemalloc.start()
+    model = mixing.fit(texts, labels, ["de", "en"], 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < len(texts) * mixing.SIZE * 4 / 2
+    x = np.stack([mixing.features(t.encode())[0] for t in texts])
+    # full-batch gradient on all rows at once gives the same
+    w, b, vw, vb, y = np.zeros((mixing.SIZE, 2)), np.zeros(2), 0.0, 0.0, np.eye(2)[[0, 1] * 1500]
+    for _ in range(5):
+        z = np.exp(x @ w + b)
+        d = (z / z.sum(1, keepdims=True) - y) / len(x)
+        vw, vb = 0.9 * vw - 4.0 * (x.T @ d + 1e-5 * w), 0.9 * vb - 4.0 * d.sum(0)
+        w, b = w + vw, b + vb
+    assert np.allclose(model.weights, w, atol=1e-4) and np.allclose(model.bias, b, atol=1e-4)

@@ -54,6 +54,26 @@ def test_scratch_tables_go(spark, docs):
     assert common.clear(spark, before=before) == 1 and common.written() == before
 
 
+def test_settle_frees_the_drivers_jvm(spark):
+    memory = spark._jvm.java.lang.management.ManagementFactory.getMemoryMXBean()
+    rubbish = spark.sparkContext._gateway.new_array(spark._jvm.byte, 64 << 20)
+    held = memory.getHeapMemoryUsage().getUsed()
+    del rubbish
+    common.settle(spark)
+    assert memory.getHeapMemoryUsage().getUsed() <= held - (60 << 20)
+
+
+def test_near_copies_hold_one_lane_at_a_time(spark, docs, monkeypatch):
+    """The links of a lane are worked out, and the driver settles, before the next lane is looked at."""
+    seen, settle, links = [], common.settle, neardup.links
+    monkeypatch.setattr(common, "settle", lambda s: (seen.append("settle"), settle(s))[1])
+    monkeypatch.setattr(neardup, "links", lambda *a: (seen.append("lane"), links(*a))[1])
+    words = [f"w{k}" for k in range(60)]
+    out = neardup.one_of_each(docs([" ".join(words), " ".join(words[:58]), "quite another text of some words", " ".join(words).upper()]))
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 2]
+    assert seen[: 2 * neardup.LANES] == ["lane", "settle"] * neardup.LANES and seen[2 * neardup.LANES :] == ["settle"] * 3
+
+
 def test_stages_with_odd_rows_and_more_columns(spark, sf, docs):
     """Nulls, empty and long texts, repeated rows, and columns whose names the operators use; texts and columns come out as they went in."""
     rows = [(k, t, "en", "s", 1, 5, "x") for k, t in enumerate(ODD)]
